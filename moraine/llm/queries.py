@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import embeddings, html, pii, toxicity
+from moraine.llm import embeddings, html, minhash, pii, toxicity
 from moraine.llm.common import table
 
 QUERIES: dict = {}
@@ -77,3 +77,8 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.low
        vec_id <= coalesce(c.low, vec_id) AS kept
 FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
