@@ -13,16 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
-
-    ``spark.checkpoint.dir`` names the folder; only where it is unset (tests, notebooks) a
-    temporary folder of this machine is taken.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder.  ``spark.checkpoint.dir`` names it; only where that is unset
+    (tests, notebooks) a temporary folder of this machine is taken."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        wanted = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="moraine-")
-        context.setCheckpointDir(wanted)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="moraine-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

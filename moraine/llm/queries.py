@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import embeddings, html, minhash, pii, toxicity
+from moraine.llm import embeddings, html, minhash, mixing, pieces, pii, tokens, toxicity
 from moraine.llm.common import table
 
 QUERIES: dict = {}
@@ -82,3 +84,29 @@ FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file; MORAINE_TOKENIZERS names another folder."""
+    return f"{os.environ.get('MORAINE_TOKENIZERS', '/opt/tokenizers')}/{name}"
+
+
+#: Splits text before byte-pair merging: contractions, letters, digits, other marks, white space.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "lossless", "pieces")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.corpus_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.drop("text", "lang", "source")
