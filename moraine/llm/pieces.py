@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,7 +36,7 @@ _WORDS = re.compile(r"\n| *[^ \n]+| +")
 class Sampler:
     """One vocabulary with its lattice cache.  ``bound``: words cached before the cache starts anew."""
 
-    def __init__(self, model: str, alpha: float = 1.0, bound: int = 250_000):
+    def __init__(self, model: str, alpha: float = 1.0, bound: int = 350_000):
         import sentencepiece
 
         spm = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -61,8 +62,12 @@ class Sampler:
             plain.setdefault(chr(b), self.byte_id[b])
         self.plain, self.known, self.longest = plain, {p for p in plain if len(p) == 1}, max(map(len, plain))
         self.automaton = ahocorasick.Automaton()
+        self.single = np.full(0x110000, -1, np.int32)  # pieces of one character, by code point
         for p, i in plain.items():
-            self.automaton.add_word(p, i * 64 + len(p))
+            if len(p) == 1:
+                self.single[ord(p)] = i
+            else:
+                self.automaton.add_word(p, i * 64 + len(p))
         self.automaton.make_automaton()
         self.sizes = np.array([len(b) for b in self.bytes_of])
         self.starts = np.r_[0, np.cumsum(self.sizes)][:-1]
@@ -72,7 +77,8 @@ class Sampler:
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.cum, self.came, self.piece, self.root = np.empty(1 << 16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        self.cum, self.came, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
+        self.root, self.first = np.zeros(1 << 16, bool), np.empty(1 << 16, np.int64)
 
     def _room(self, name: str, more: int, used: int) -> None:
         old = getattr(self, name)
@@ -108,11 +114,13 @@ class Sampler:
         cum[head + size - 1] = 1.0
         for name in ("cum", "came", "piece"):
             self._room(name, len(end), self.edges)
-        self._room("root", nodes, self.nodes)
+        for name in ("root", "first"):
+            self._room(name, nodes, self.nodes)
         s = slice(self.edges, self.edges + len(end))
         self.cum[s], self.came[s], self.piece[s] = self.nodes + end + np.minimum(cum, 1.0), self.nodes + start, piece
         self.root[self.nodes : self.nodes + nodes] = False
         self.root[self.nodes + roots] = True
+        self.first[self.nodes : self.nodes + nodes] = self.edges + np.searchsorted(end, np.arange(nodes))
         self.edges += len(end)
         self.nodes += nodes
 
@@ -123,12 +131,13 @@ class Sampler:
             joined = _STOP.join(simple) + _STOP
             size = np.fromiter(map(len, simple), np.int64, len(simple))
             stop = np.cumsum(size + 1) - 1
-            found = np.array(list(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-            end, value = found[:, 0], found[:, 1]
-            separator = np.zeros(len(joined), bool)
-            separator[stop] = True
-            keep = ~separator[end]
-            end, value = end[keep] + 1, value[keep]
+            found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+            lone = np.ones(len(joined), bool)
+            lone[stop] = False
+            lone = np.flatnonzero(lone)
+            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)[lone]
+            end = np.concatenate([lone, found[:, 0]]) + 1
+            value = np.concatenate([self.single[code].astype(np.int64) * 64 + 1, found[:, 1]])
             order = np.argsort(end, kind="stable")
             end, value = end[order], value[order]
             base = self.nodes
@@ -174,7 +183,11 @@ class Sampler:
         while len(live):
             u = (mix(seed[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             key = node + np.minimum(u, 1 - 2.0**-20)  # node numbers take bits from the fraction
-            edge = np.searchsorted(cum, key, "right")
+            edge = self.first[node]
+            left = np.flatnonzero(cum[edge] <= key)
+            while len(left):  # a node has two edges on average
+                edge[left] += 1
+                left = left[cum[edge[left]] <= key[left]]
             taken.append((live, self.piece[edge]))
             steps[live] += 1
             node = self.came[edge]

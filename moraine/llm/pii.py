@@ -123,9 +123,9 @@ def detect(documents: DataFrame, reach: int = 48, generalise: float = 0.6, remov
     pairs = near.select("_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     entities = keyed.where(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.transform("pii_base", lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = documents.select(F.count("*").alias("n"))
+    total = F.lit(documents.count())
     revealing = (
-        pairs.join(entities, "entity").join(words, "term").crossJoin(total)  # one row: the number of documents
+        pairs.join(entities, "entity").join(words, "term").withColumn("n", total)
         .withColumn("ic", F.log(F.col("n") / F.col("n_entity")))
         .withColumn("pmi", F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
