@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import embeddings, html, minhash, mixing, pieces, pii, tokens, toxicity
+from moraine.llm import embeddings, html, minhash, mixing, pieces, pii, suffix, tokens, toxicity
 from moraine.llm.common import table
 
 QUERIES: dict = {}
@@ -110,3 +110,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.corpus_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.drop("text", "lang", "source")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated(table(spark, sf_dir, "documents")).drop("starts", "ends")
