@@ -8,9 +8,11 @@ lists with one document are skipped.  Collisions of the pairs that meet are coun
 signatures; pairs at or above ``matches`` are confirmed on the full sets.
 
 Lists are merged in two steps, so that large groups of copies do not become all their pairs: first
-each list against its smallest document, which links most copies; then, in lists that still hold
-documents of different components, all pairs between different components, in blocks.  Pairs within
-one component are skipped: they cannot change it.  No list, block or partner is capped.
+each list against its few most central documents (those whose coordinates most others share: the
+original of a group rather than one of its copies), which links most copies; then, in lists that still
+hold documents of different components, all pairs between different components, in blocks.  Pairs
+within one component are skipped: they cannot change it; so are pairs whose sizes rule the similarity
+out.  No list, block or partner is capped.
 
 Defined cases: null or empty texts, and texts without words, have the empty set and link with
 nothing, as do rows without an id; rows of one id are one node; an empty table gives an empty result;
@@ -21,13 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.llm.common import checkpointed, components
-from moraine.llm.shingles import buffers, chunks, mix, shingle_sets
+from moraine.llm.shingles import CHUNK, buffers, chunks, mix, shingle_sets
 
-COORDINATES, MATCHES = 32, 15
+COORDINATES, MATCHES = 48, 27
+#: Documents of a list that it is first merged against.
+PIVOTS = 3
 
 
 def _coefficients(n: int) -> np.ndarray:
@@ -69,31 +74,52 @@ def signatures(documents: DataFrame, words: int, coordinates: int = COORDINATES)
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def shingles_of(documents: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``shingles`` (array of 64-bit hashes) of texts with words."""
+def compressed(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``packed`` (the text's bytes, compressed, so that less is shuffled)."""
     id_type = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
         import pyarrow as pa
 
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for first, last in chunks(offsets):
-                row, shingle = shingle_sets(data, offsets[first : last + 1], words)
-                bounds = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
+            packed = [press.compress(t.as_buffer()) if t.is_valid else b"" for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, packed binary")
+
+
+def shingles_of(held: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, ``shingles`` (array of 64-bit hashes) of compressed texts."""
+    id_type = dict(held.dtypes)["doc_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            at, packed = 0, batch.column("packed")
+            while at < len(batch):
+                texts, size, first = [], 0, at
+                while at < len(batch) and (not texts or size < CHUNK):
+                    texts.append(unpress.decompress(packed[at].as_buffer()))
+                    size += len(texts[-1])
+                    at += 1
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                row, shingle = shingle_sets(data, np.cumsum([0, *map(len, texts)]), words)
+                bounds = np.searchsorted(row, np.arange(at - first + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), lists], names=["doc_id", "shingles"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
+    return held.select("doc_id", "packed").mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs ``a``, ``b``, those with ``100 * |intersection| >= percent * |union|`` of the
     full sets of documents a and b."""
     pairs = checkpointed(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    own = documents.join(wanted, documents.doc_id == wanted._id, "left_semi")
-    sets = shingles_of(own.dropDuplicates(["doc_id"]), words)
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_id")
+    sets = shingles_of(held.join(wanted, held.doc_id == wanted._id, "left_semi"), words)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -103,55 +129,65 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 4096) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``documents``
     (``doc_id``, ``text``).  ``matches`` is to be set so that a pair at ``percent`` reaches it almost
-    surely: with 32 and 15, a pair at 80 per cent falls short about once in 200,000."""
+    surely: with 48 and 27, a pair at 80 per cent falls short about once in 10,000."""
     documents = documents.select("doc_id", "text")
     signed = checkpointed(signatures(documents, words, coordinates))
-    reps = checkpointed(signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    reps = checkpointed(signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     posts = reps.select("rep", F.explode("keys").alias("key"))
     common = posts.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
-    shared = posts.join(common, posts.key == common._key).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"))
+    shared = posts.join(common, posts.key == common._key).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"), F.sum("n").alias("central"))
     # Coordinates met nowhere else come first in the order of rarity, and need no list.
     length = F.size("lists") - (matches - 1)
-    prefix = shared.where(length > 0).select("rep", F.explode(F.slice("lists", F.lit(1), length)).alias("l")).select("rep", "l.key")
-    prefix = checkpointed(prefix)
-
-    sig = reps.select("rep", "keys")
-    pivots = prefix.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "a")
-    star = prefix.join(pivots, prefix.key == pivots._key).where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    star = star.join(sig.withColumnsRenamed({"rep": "a", "keys": "ka"}), "a").join(sig.withColumnsRenamed({"rep": "b", "keys": "kb"}), "b")
+    prefix = shared.where(length > 0).select("rep", "central", F.explode(F.slice("lists", F.lit(1), length)).alias("l")).select("rep", "central", "l.key")
+    several = prefix.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
+    prefix = checkpointed(prefix.join(several, prefix.key == several._key).select("rep", "central", "key"))
+    involved = prefix.select(F.col("rep").alias("_id")).distinct()
+    packed = compressed(documents)
+    held = checkpointed(packed.join(involved, packed.doc_id == involved._id, "left_semi"))
+
+    # One byte of each coordinate's key is enough to count collisions that are then confirmed.
+    sig = reps.select("rep", "n", F.transform("keys", lambda k: k.bitwiseAND(F.lit(127)).cast("byte")).alias("bytes"))
+    first = Window.partitionBy("key").orderBy(F.desc("central"), "rep")
+    pivots = prefix.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS).select(F.col("key").alias("_key"), F.col("rep").alias("a"))
+    star = prefix.join(pivots, prefix.key == pivots._key).where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    star = star.join(sig.withColumnsRenamed({"rep": "a", "n": "na", "bytes": "ka"}), "a").join(sig.withColumnsRenamed({"rep": "b", "n": "nb", "bytes": "kb"}), "b")
     alike = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    links = checkpointed(confirmed(star.where(alike >= matches).select("a", "b"), documents, words, percent))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    links = checkpointed(confirmed(star.where(fits & (alike >= matches)).select("a", "b"), held, words, percent))
     joined = components(links)
 
     placed = prefix.join(joined, prefix.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = mixed.select("_key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    mixed = placed.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    mixed = mixed.select("_key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     open_ = placed.join(mixed, placed.key == mixed._key).drop("_key").join(sig.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "keys")
+    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "bytes")
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        rep, component, own = (group[c].to_numpy() for c in ("rep", "component", "own"))
-        keys = np.stack(group["keys"].to_numpy())
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if len(group) > 2:
+            group = group.sort_values("n", kind="stable")
+        rep, component, own, n = (group[c].to_numpy() for c in ("rep", "component", "own", "n"))
+        seen = np.stack(group["bytes"].to_numpy()).astype(np.int8)
         out_a, out_b = [], []
-        for s in range(0, len(left), 256):
-            rows = left[s : s + 256]
-            open_pairs = component[rows][:, None] != component[right][None, :]
-            if i == j:
-                open_pairs &= rep[rows][:, None] < rep[right][None, :]
-            p, q = np.nonzero(open_pairs)
-            for c in range(0, len(p), 200_000):
-                x, y = rows[p[c : c + 200_000]], right[q[c : c + 200_000]]
-                good = (keys[x] == keys[y]).sum(axis=1) >= matches
+        step = 128
+        for s in range(0, len(rep), step):  # rows in the order of size, each against the next larger ones
+            e = min(s + step, len(rep))
+            top = int(np.searchsorted(n, 100 * n[e - 1] // percent, "right"))
+            wanted = (component[s:e, None] != component[None, s:top]) & (np.arange(s, e)[:, None] < np.arange(s, top)[None, :]) & (percent * n[None, s:top] <= 100 * n[s:e, None])
+            if i != j:
+                wanted &= own[s:e, None] != own[None, s:top]
+            p, q = np.nonzero(wanted)
+            for c in range(0, len(p), 100_000):
+                x, y = s + p[c : c + 100_000], s + q[c : c + 100_000]
+                good = np.count_nonzero(seen[x] == seen[y], axis=1) >= matches
                 out_a.append(np.minimum(rep[x[good]], rep[y[good]]))
                 out_b.append(np.maximum(rep[x[good]], rep[y[good]]))
         a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pd.DataFrame({"a": a, "b": b})
 
     crossing = open_.groupBy("key", "i", "j").applyInPandas(merge, "a long, b long").distinct()
-    more = confirmed(crossing, documents, words, percent)
+    more = confirmed(crossing, held, words, percent)
     final = components(links.unionByName(more))
     known = reps.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep").join(final, F.col("rep") == F.col("node"), "left")
     known = known.select("_h1", "_h2", F.coalesce("component", "rep").alias("component"))
