@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of tables that are no longer referenced: its cleaner acts when
+    the driver collects garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(*columns: str | Column) -> Column:
     """A 64-bit key of a row's content; equal rows get equal keys, so results can be joined back
     although ids may be repeated or null."""

@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import checkpointed
+from moraine.llm.common import checkpointed, released
 from moraine.llm.shingles import buffers, mix, powers
 
 GRAM, STEP = 20, 4
-PACK = 4 << 20
+PACK = 2 << 20
 #: Symbols of one suffix array: small enough for the processor's caches; an anchor is never cut.
 SLICE = 6_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +43,32 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers, kept for the next call unless they are many."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = powers(base, max(n, PACK + (PACK >> 2)))
+        if n <= 2 * PACK:
+            _POWERS[int(base)] = held
+    return held[:n]
+
+
+def _squeeze(values: np.ndarray, steps: bool = False) -> bytes:
+    """Integers by byte planes, compressed; ``steps`` stores the differences of ordered ones."""
+    if steps and len(values):
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def _expand(raw: bytes, kind, steps: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if steps else values
+
+
 def suffix_array(symbols: list[int]) -> list[int]:
     """The suffix array of a sequence of integers (its end counts as smaller than any)."""
     n = len(symbols)
@@ -130,8 +156,8 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, n)[:n], out=self.sums[1:])
-        self.back = powers(_BACK, n + 1)
+        np.cumsum(_BYTE[data] * _powers(_BASE, n), out=self.sums[1:])
+        self.back = _powers(_BACK, n + 1)
 
     def grams(self, size: int) -> np.ndarray:
         n = max(len(self.sums) - size, 0)
@@ -277,11 +303,11 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
             np.minimum.at(low, place, ids[row])
             np.maximum.at(high, place, ids[row])
             several = low < high
-            rows = [(b, key, distinct[p:q].astype(np.uint64).tobytes(), _bits(several[p:q])) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:])) if q > p or b == 0]
+            rows = [(b, key, _squeeze(distinct[p:q], True), _bits(several[p:q])) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:])) if q > p or b == 0]
             yield pa_batch(rows, ["bucket", "pack", "anchors", "several"], ["int32", "int64", "binary", "binary"])
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
-        every = [np.frombuffer(x, np.uint64) for x in group["anchors"]]
+        every = [_expand(x, np.uint64, True) for x in group["anchors"]]
         distinct, place = np.unique(np.concatenate(every), return_inverse=True)
         times = np.bincount(place, minlength=len(distinct))
         at = 0
@@ -331,12 +357,13 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
                     _, once, which = np.unique(span[p:q], return_index=True, return_inverse=True)
                     size = (end - start)[o[once]]
                     at = np.repeat(start[o[once]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    rows.append((b, row["pack"], distinct[place[o]].tobytes(), span[p:q][once].tobytes(), which.astype(np.int32).tobytes(), size.astype(np.int32).tobytes(), press.compress(data[at].tobytes()), of[o].astype(np.int32).tobytes(), ids[of[o]].tobytes(), (start[o] - offsets[of[o]]).astype(np.int64).tobytes()))
+                    rows.append((b, row["pack"], _squeeze(distinct[place[o]], True), span[p:q][once].tobytes(), _squeeze(which.astype(np.int32)), _squeeze(size.astype(np.int32)), press.compress(data[at].tobytes()), _squeeze(of[o].astype(np.int32)), _squeeze(ids[of[o]]), _squeeze((start[o] - offsets[of[o]]).astype(np.int64))))
                 yield pa_batch(rows, _SENT, ["int32", "int64", *["binary"] * 8])
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in group[name]]
-        anchors, spans, which, sizes = read("anchors", np.uint64), read("spans", np.uint64), read("which", np.int32), read("sizes", np.int32)
+        read = lambda name, kind, steps=False: [_expand(x, kind, steps) for x in group[name]]
+        spans = [np.frombuffer(x, np.uint64) for x in group["spans"]]
+        anchors, which, sizes = read("anchors", np.uint64, True), read("which", np.int32), read("sizes", np.int32)
         rows, docs, starts = read("rows", np.int32), read("docs", np.int64), read("starts", np.int64)
         texts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in group["texts"]]
         span = np.concatenate([s[w] for s, w in zip(spans, which)])
@@ -364,8 +391,11 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
         alone[:-1] &= met[1:] != met[:-1]
         sort = np.flatnonzero(~alone)
         if len(sort):
-            begin = begin_of[chosen[sort]]
-            minima[np.repeat(~alone, windows)] = window_minima(met[sort], begin, begin + size_of[chosen[sort]], data, low[sort], length)
+            size = size_of[chosen[sort]]
+            end = np.cumsum(size)
+            at = np.repeat(begin_of[chosen[sort]] - (end - size), size) + np.arange(int(end[-1]))
+            minima[np.repeat(~alone, windows)] = window_minima(met[sort], end - size, end, data[at], low[sort], length)
+        del data
         out, packs, at = [], group["pack"].to_numpy(), 0
         for k, own_rows in enumerate(rows):
             n = len(own_rows)
@@ -413,6 +443,8 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
     met = texts.join(answers, texts.pack == answers._pack, "left").drop("_pack")
     sent = met.mapInArrow(send, ", ".join(f"{c} {t}" for c, t in zip(_SENT, ["int", "long", *["binary"] * 8])))
     gone = checkpointed(sent.groupBy("bucket").applyInPandas(settle, "pack long, gone binary"))
+    del anchors, answers, met, sent
+    released(documents.sparkSession)  # the first passes' shuffle files
     gone = gone.groupBy(F.col("pack").alias("_pack")).agg(F.collect_list("gone").alias("gone"))
     out = texts.join(gone, texts.pack == gone._pack, "left").select("pack", "ids", "offsets", "data", "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
