@@ -1,0 +1,129 @@
+"""Parts of the corpus operators against plain versions, without Spark."""
+
+import random
+
+import numpy as np
+import pytest
+
+from moraine.llm import embeddings, html, mixing, pieces, shingles, suffix
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_suffix_arrays():
+    dice = random.Random(1)
+    for _ in range(1500):
+        x = [dice.randrange(dice.choice([1, 2, 4])) for _ in range(dice.randrange(40))]
+        assert suffix.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+@pytest.mark.parametrize("values", [[], [5], [1, 1, 9, 1 << 60]])
+def test_squeezed_integers(values):
+    x = np.array(values, np.uint64)
+    assert (suffix._expand(suffix._squeeze(x, True), np.uint64, True) == x).all()
+    assert (suffix._expand(suffix._squeeze(x), np.uint64) == x).all()
+
+
+def test_alignment():
+    dice = random.Random(2)
+
+    def length(a, b):
+        rows = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(rows[j] + 1 if x == y else max(rows[j + 1], new[j]))
+            rows = new
+        return rows[-1]
+
+    for _ in range(400):
+        a, b = ([dice.randrange(4) for _ in range(dice.randrange(14))] for _ in "ab")
+        found = html.aligned(a, b)
+        assert len(found) == length(a, b)
+        rest = iter(b)
+        assert all(any(y == a[k] for y in rest) for k in found)
+
+
+def test_page_lines():
+    page = '<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>one <b>t</b>wo<p>x<div class="ad-box">buy</div></article><footer>f</footer>'
+    assert html.main_text(html.lines(page), set()) == "A & B one two x"
+    assert html.lines(None) == [] and html.main_text([], set()) == ""
+    plain = html.lines("<div>site name</div><div>a long text of this page</div>")
+    assert html.main_text(plain, {0}) == "a long text of this page"
+    assert html.main_text(plain, {0, 1}) == "site name a long text of this page"  # a copy of another page
+    assert html.lines("<p>1 < 2 <b") == [("1 < 2", 0)]
+
+
+def test_shingle_sets():
+    texts = ["", "one", "One one ONE", "a b\ta b", " \n", "x" * 5000, "é b"]
+    raw = [t.encode() for t in texts]
+    row, value = shingles.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+    assert np.bincount(row, minlength=len(texts)).tolist() == [0, 1, 1, 2, 0, 1, 1]
+    assert len(set(value.tolist())) == len(value)
+
+
+def test_segmentations_have_their_probabilities():
+    tool, n = pieces.Sampler(MODEL), 20_000
+    ids, bounds = tool.encode(["other"] * n, np.arange(n, dtype=np.uint64))
+    seen: dict = {}
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        seen[tuple(ids[a:b])] = seen.get(tuple(ids[a:b]), 0) + 1
+
+    def every(word):
+        if not word:
+            yield (), 0.0
+        for k in range(1, len(word) + 1):
+            if word[:k] in tool.plain:
+                for rest, weight in every(word[k:]):
+                    yield (tool.plain[word[:k]], *rest), weight + tool.weight[tool.plain[word[:k]]]
+
+    paths = dict(every(" other"))
+    whole = sum(np.exp(w) for w in paths.values())
+    assert set(seen) <= set(paths)
+    assert max(abs(seen.get(p, 0) / n - np.exp(w) / whole) for p, w in paths.items()) < 0.012
+
+
+@pytest.mark.parametrize("text", ["", " ", "héllo ▁ wörld\n\n  x😀y\t\x00z", "a" * 3000, "日本語 テキスト", "\n"])
+def test_decoding_is_lossless(text):
+    tool = pieces.Sampler(MODEL, bound=1)
+    for seed in range(3):
+        ids, _ = tool.encode([text], np.array([seed], np.uint64))
+        again, _ = tool.encode(["other words", text], np.array([9, seed], np.uint64))
+        assert tool.decode(ids) == text.encode()
+        assert len(ids) == 0 or again[-len(ids) :].tolist() == ids.tolist()  # a row's result is its own
+
+
+def test_raking():
+    dice = np.random.default_rng(3)
+    index = [dice.integers(0, 4, 40), dice.integers(0, 3, 40)]
+    tokens = dice.integers(1, 1000, 40)
+    targets = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.25, 0.25])]
+    w = mixing.rake(index, tokens, targets)
+    for at, share in zip(index, targets):
+        assert np.allclose(np.bincount(at, w) / w.sum(), share, atol=1e-6)
+    ratio = w / tokens
+    f = mixing.calibrate(ratio, tokens, 0.6 * tokens.sum())
+    assert np.isclose((np.minimum(1, f * ratio) * tokens).sum(), 0.6 * tokens.sum())
+
+
+def test_best_in_block():
+    dice = np.random.default_rng(4)
+    x = dice.integers(-30, 30, (300, 16)).astype(float)
+    x[50:60] = x[40]  # ties
+    ids = dice.permutation(300)
+    i, j, score = embeddings.best_in_block(x[:20], ids[:20], x, ids, 7)
+    for q in range(20):
+        s = x @ x[q]
+        want = sorted((k for k in range(300) if k != q), key=lambda k: (-s[k], ids[k]))[:7]
+        assert j[i == q].tolist() == want and score[i == q].tolist() == [s[k] for k in want]
+
+
+def test_linked_pairs():
+    dice = np.random.default_rng(5)
+    x = dice.standard_normal((60, 24))
+    x = np.concatenate([x, x[:30] + 0.1 * dice.standard_normal((30, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = embeddings.rotation(24, 1)
+    _, factor = embeddings.code(u, turn)
+    i, j = embeddings.linked_pairs((u, factor), (u, factor), True, 0.95, turn)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(90) for b in range(a + 1, 90) if u[a] @ u[b] >= 0.95}
