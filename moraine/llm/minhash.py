@@ -5,7 +5,8 @@ collapsed to one representative.  Representatives are posted under each (coordin
 Two sets that agree in at least ``matches`` of the coordinates must meet in one of their
 ``coordinates - matches + 1`` rarest postings (prefix filter), so only those lists are merged, and
 lists with one document are skipped.  Collisions of the pairs that meet are counted on the whole
-signatures; pairs at or above ``matches`` are confirmed on the full sets.
+signatures; pairs at or above ``matches`` are confirmed on the full sets, unless their sketches
+already show that they differ in too many shingles.
 
 Lists are merged in two steps, so that large groups of copies do not become all their pairs: first
 each list against its few most central documents (those whose coordinates most others share: the
@@ -31,6 +32,9 @@ from moraine.llm.common import checkpointed, components
 from moraine.llm.shingles import CHUNK, buffers, chunks, mix, shingle_sets
 
 COORDINATES, MATCHES = 48, 27
+#: Bits of a set's parity sketch: bit b is the parity of the number of shingles that hash to b.  Two
+#: sketches differ in at most as many bits as the sets differ in shingles, so no link is lost by it.
+PARITY = 2048
 #: Documents of a list that it is first merged against.
 PIVOTS = 3
 
@@ -41,7 +45,7 @@ def _coefficients(n: int) -> np.ndarray:
 
 def signatures(documents: DataFrame, words: int, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (128 bits that equal sets share), ``keys`` (one
-    coordinate-value key per coordinate; null for the empty set)."""
+    coordinate-value key per coordinate) and ``parity`` (the sketch); null for the empty set."""
     id_type = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
@@ -53,6 +57,7 @@ def signatures(documents: DataFrame, words: int, coordinates: int = COORDINATES)
             total = len(batch)
             count, h1, h2 = np.zeros(total, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint64)
             keys = np.zeros((total, coordinates), np.int64)
+            parity = np.zeros((total, PARITY // 64), np.int64)
             for first, last in chunks(offsets):
                 row, shingle = shingle_sets(data, offsets[first : last + 1], words)
                 if not len(row):
@@ -61,17 +66,19 @@ def signatures(documents: DataFrame, words: int, coordinates: int = COORDINATES)
                 at = first + row[begins]
                 count[at] = np.diff(np.r_[begins, len(row)])
                 h1[at], h2[at] = np.add.reduceat(shingle, begins), np.add.reduceat(mix(shingle ^ np.uint64(0xA5A5A5A5)), begins)
+                odd = np.bincount((row - row[0]) * PARITY + (shingle & np.uint64(PARITY - 1)).astype(np.int64), minlength=(int(row[-1] - row[0]) + 1) * PARITY) & 1
+                parity[first + row[0] : first + row[-1] + 1] = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, PARITY // 64)
                 for k in range(coordinates):
                     low = np.minimum.reduceat((shingle * factors[k]) >> np.uint64(24), begins)
                     keys[at, k] = (mix(low + np.uint64(k << 40)) >> np.uint64(1)).astype(np.int64)
             has = count > 0
             signed = lambda x: pa.array(x.view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * coordinates), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), signed(h1), signed(h2), pa.compute.if_else(pa.array(has), lists, None)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+            rows = lambda x: pa.compute.if_else(pa.array(has), pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())), None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), signed(h1), signed(h2), rows(keys), rows(parity)], names=["doc_id", "n_shingles", "h1", "h2", "keys", "parity"])
 
     import pyarrow.compute  # noqa: F401
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, parity array<long>")
 
 
 def compressed(documents: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
     surely: with 48 and 27, a pair at 80 per cent falls short about once in 10,000."""
     documents = documents.select("doc_id", "text")
     signed = checkpointed(signatures(documents, words, coordinates))
-    reps = checkpointed(signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    reps = checkpointed(signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity")))
     posts = reps.select("rep", F.explode("keys").alias("key"))
     common = posts.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
     shared = posts.join(common, posts.key == common._key).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"), F.sum("n").alias("central"))
@@ -146,13 +153,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
     held = checkpointed(packed.join(involved, packed.doc_id == involved._id, "left_semi"))
 
     # One byte of each coordinate's key is enough to count collisions that are then confirmed.
-    sig = reps.select("rep", "n", F.transform("keys", lambda k: k.bitwiseAND(F.lit(127)).cast("byte")).alias("bytes"))
+    sig = reps.select("rep", "n", F.transform("keys", lambda k: k.bitwiseAND(F.lit(127)).cast("byte")).alias("bytes"), "parity")
     first = Window.partitionBy("key").orderBy(F.desc("central"), "rep")
     pivots = prefix.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS).select(F.col("key").alias("_key"), F.col("rep").alias("a"))
     star = prefix.join(pivots, prefix.key == pivots._key).where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    star = star.join(sig.withColumnsRenamed({"rep": "a", "n": "na", "bytes": "ka"}), "a").join(sig.withColumnsRenamed({"rep": "b", "n": "nb", "bytes": "kb"}), "b")
+    star = star.join(sig.withColumnsRenamed({"rep": "a", "n": "na", "bytes": "ka", "parity": "pa"}), "a").join(sig.withColumnsRenamed({"rep": "b", "n": "nb", "bytes": "kb", "parity": "pb"}), "b")
     alike = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
     links = checkpointed(confirmed(star.where(fits & (alike >= matches)).select("a", "b"), held, words, percent))
     joined = components(links)
 
@@ -161,14 +169,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
     mixed = mixed.select("_key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     open_ = placed.join(mixed, placed.key == mixed._key).drop("_key").join(sig.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "bytes")
+    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "bytes", "parity")
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         if len(group) > 2:
             group = group.sort_values("n", kind="stable")
         rep, component, own, n = (group[c].to_numpy() for c in ("rep", "component", "own", "n"))
-        seen = np.stack(group["bytes"].to_numpy()).astype(np.int8)
+        seen = np.stack(group["bytes"].to_numpy()).astype(np.uint8)  # values below 128
+        seen = np.ascontiguousarray(np.pad(seen, ((0, 0), (0, -coordinates % 8)))).view(np.uint64)
+        parity = np.stack(group["parity"].to_numpy()).view(np.uint64)
+        most = seen.shape[1] * 8 - (-coordinates % 8) - matches  # coordinates that may differ
+        seventh, top_bit = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
         out_a, out_b = [], []
         step = 128
         for s in range(0, len(rep), step):  # rows in the order of size, each against the next larger ones
@@ -180,7 +192,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
             p, q = np.nonzero(wanted)
             for c in range(0, len(p), 100_000):
                 x, y = s + p[c : c + 100_000], s + q[c : c + 100_000]
-                good = np.count_nonzero(seen[x] == seen[y], axis=1) >= matches
+                differ = np.bitwise_count(((seen[x] ^ seen[y]) + seventh) & top_bit).sum(axis=1)
+                x, y = x[differ <= most], y[differ <= most]
+                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+                good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
                 out_a.append(np.minimum(rep[x[good]], rep[y[good]]))
                 out_b.append(np.maximum(rep[x[good]], rep[y[good]]))
         a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -191,7 +206,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
     final = components(links.unionByName(more))
     known = reps.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep").join(final, F.col("rep") == F.col("node"), "left")
     known = known.select("_h1", "_h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("keys").withColumn("has", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    out = signed.drop("keys", "parity").withColumn("has", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     out = out.join(known, F.col("has") & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

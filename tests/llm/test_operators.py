@@ -1,0 +1,206 @@
+"""Corpus operators on a small corpus with nulls, empty and long texts, ties, repeated rows and clashing
+columns, against brute-force versions."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from moraine.llm import embeddings, html, minhash, mixing, pieces, pii, suffix, tokens, toxicity
+from moraine.llm.queries import PATTERN, QUERIES, SQL, tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key long, stream int, rep long, component long, key string, score double"
+EXTRA = (7, 7, 7, 7, "k", 0.5)
+
+
+def corpus():
+    dice = random.Random(11)
+    words = ["the", "of", "and", "alpha", "beta", "gamma", "delta", "Épsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda"]
+    say = lambda n: " ".join(dice.choice(words) for _ in range(n))
+    base, passage = say(120), say(70)
+    rows = [(None, "no id " + passage), (0, None), (1, ""), (2, " \n\t"), (3, "one"), (4, "ONE"), (5, base), (6, base), (7, base + " tail"), (8, say(30) + passage + say(30)), (9, passage + say(10)), (10, say(3000)), (11, "x" * 4000), (12, "ab" * 60), (3, "one")]
+    rows += [(20 + k, re.sub(r"\balpha\b", "omega", base, count=k % 5)) for k in range(12)] + [(40 + k, say(60)) for k in range(12)]
+    return [(i, t, dice.choice(["en", None]), dice.choice("ab"), None if t is None else len(t), *EXTRA) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("corpus") / "documents")
+    spark.createDataFrame(corpus(), SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_repeated_passages(documents):
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.repeated(documents, pack=5000).collect() if r["doc_id"] is not None)
+    texts = sorted(((r[0], (r[1] or "").encode()) for r in corpus() if r[0] is not None), key=lambda r: r[0])
+    seen, want = {}, []
+    for i, b in texts:
+        for k in range(len(b) - 49):
+            seen[b[k : k + 50]] = min(i, seen.get(b[k : k + 50], i))
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want.append((i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+    assert sum(w[2] for w in want) > 1000
+
+
+def components(n, links):
+    at = {i: i for i in n}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(at[a], at[b])
+            changed |= at[a] != low or at[b] != low
+            at[a] = at[b] = low
+    return at
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates(documents, words):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(documents, words=words, block=5).collect() if r["doc_id"] is not None}
+    sets = {}
+    for i, t, *_ in corpus():
+        if i is not None:
+            w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()).split()
+            sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = components(sets, links)
+    assert got == {(i, len(s), low[i], low[i] == i) for i, s in sets.items()}
+    assert len(links) > 20
+
+
+def test_personal_data(documents, spark):
+    text = "Mail bob.x@ex-a.org, +44 (20) 7946-0958 or 10.0.0.255. Card 4111 1111 1111 1111; not 10.0.0.256, 4111111111111112, +12. é😀 a@b.c"
+    long = "1" * 20_000 + " " + "a.b" * 10_000 + "@x" + ".y" * 10_000
+    rows = [(1, text, 5), (2, None, 5), (2, None, 5), (3, "", 5), (None, text, 5), (4, long, 5)] + [(10 + k, "ring Zaphod at 77.1.2.3 today", 5) for k in range(4)] + [(20 + k, f"today is {k}", 5) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, pii_base int")
+    found = pii.detect(frame)
+    assert found.columns == ["doc_id", "text", "pii_base", "pii_terms"]
+    by = {r["doc_id"]: r for r in pii.digest(found).collect()}
+    assert by[1]["spans"] == by[None]["spans"]
+    kinds = {k: re.compile(p) for k, p in [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]}
+    starts = [(m.start(), m.end()) for m in kinds["email"].finditer(text)]
+    assert [tuple(map(int, s.split(":")[1:])) for s in by[1]["spans"].split(",") if s.startswith("email")] == starts
+    assert (by[1]["n_email"], by[1]["n_ip"], by[1]["n_card"], by[1]["n_phone"]) == (2, 1, 1, 1)
+    assert by[2]["spans"] == by[3]["spans"] == "" and by[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert by[4]["n_email"] == 1
+    assert by[10]["spans"] == "term:0:4,term:5:11,ip:15:23"  # these words are seen with the address only
+    clean = {r["doc_id"]: r["c"] for r in found.select("doc_id", pii.sanitised(F.col("text"), F.col("pii_base"), F.col("pii_terms")).alias("c")).collect()}
+    assert clean[10] == "  at [ip] today" and clean[2] == "" and clean[20] == "today is 0"
+    assert pii.digest(pii.detect(frame.limit(0))).count() == 0
+
+
+def test_toxicity(spark):
+    dice = random.Random(3)
+    words = [f"w{k}rd{k}" for k in range(60)]
+    say = lambda n: " ".join(dice.choice(words) for _ in range(n))
+    bad = [f"{say(20)} {dice.choice(['vileness', 'grubbo' + dice.choice('xyzuv')])} {say(20)}" for _ in range(80)]
+    train = spark.createDataFrame([(t, 1) for t in bad] + [(say(40), 0) for _ in range(300)] + [(None, 1), ("x", None)], "text string, label int")
+    model = toxicity.fit(train)
+    assert any(p.startswith("vilen") for p in model.entries) and "grubbo" in model.entries
+    rows = [(1, f"{say(200)} V1leness {say(100)}"), (2, f"a grubbow {say(5)}"), (3, say(100)), (4, None), (5, ""), (6, "vıleness"), (7, "viIenesss grub")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id int, text string").withColumn("score", F.lit("old")), model).collect()}
+    assert min(got[1], got[2], got[6]) >= 0.5 > max(got[3], got[4], got[5], got[7])
+    empty = toxicity.fit(train.limit(0))
+    assert toxicity.score(spark.createDataFrame(rows, "doc_id int, text string"), empty).agg(F.max("score")).first()[0] < 0.01
+    model.exceptions = {"a grubbow"}
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    assert again[2] < 0.5
+
+
+def test_pages(spark):
+    site = lambda body: f"<div>Site name here</div><div>{body}</div><div>All rights kept</div>"
+    rows = [
+        (1, "https://h.org/a/1", site("First page says this and that")), (2, "https://h.org/a/2", site("Second page speaks of other things")),
+        (3, "https://h.org/b/9", site("Third page in another folder")), (4, None, "<article><p>x &amp; y</p></article>"), (5, "http://h.org/c", None), (5, "http://h.org/c", None), (6, "weird", ""),
+    ]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
+    assert got[1]["text"] == "First page says this and that" and got[2]["text"] == "Second page speaks of other things"
+    assert got[4]["text"] == "x & y" and got[5]["text"] == "" and got[6]["n_chars"] == 0
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    dice = np.random.default_rng(8)
+    x = dice.standard_normal((70, 8))
+    x = np.concatenate([x, x[:20], x[:20] * 2, x[20:40] + 0.05 * dice.standard_normal((20, 8))]).round(3)
+    rows = [(int(i), [float(v) for v in row], 1) for i, row in enumerate(x)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [math.nan] * 8, 1), (203, [None] * 8, 1), (204, [], 1), (205, [1.0], 1), (206, [math.inf] * 8, 1)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int"), rows
+
+
+def test_near_vectors(vectors):
+    frame, rows = vectors
+    good = {i: np.array(v) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.95]
+    low = components({i for i, *_ in rows}, links)
+    want = {(i, sum(i in p for p in links), low[i], low[i] == i) for i, *_ in rows}
+    assert {tuple(r) for r in embeddings.near_duplicates(frame, block=7, miss=1e-9).collect()} == want
+    assert len(links) > 60
+    assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_top_k(vectors):
+    frame, rows = vectors
+    whole = {i: np.floor(64 * np.array(v)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
+    want = set()
+    for q in whole:
+        if q % 20 == 0:
+            best = sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q and len(whole[c]) == len(whole[q]))[:20]
+            want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    assert {tuple(r) for r in embeddings.top_k(frame, F.col("vec_id") % 20 == 0, rows=16, query_rows=3).collect()} == want
+    assert embeddings.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_token_counts(documents):
+    folder = tokenizer_file("byte_bpe_50k.tiktoken")
+    encode = tokens.encoder(folder, PATTERN).encode_ordinary
+    for block in (7, 1 << 19):
+        got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in tokens.token_counts(documents, folder, PATTERN, block=block).collect()))
+        assert got == sorted((r[0] if r[0] is not None else -1, len(encode(r[1] or ""))) for r in corpus())
+    assert tokens.token_counts(documents.limit(0), folder, PATTERN).count() == 0
+
+
+def test_pieces(documents, spark):
+    model = tokenizer_file("piece_bpe_32k.model")
+    out = pieces.encode(documents, model)
+    assert out.columns == [*documents.columns, "pieces", "lossless"]
+    one = {(r["doc_id"], r["text"]): r["pieces"] for r in out.collect()}
+    two = {(r["doc_id"], r["text"]): r["pieces"] for r in pieces.encode(documents.repartition(7), model, chunk=100).collect()}
+    assert one == two and all(r["lossless"] for r in out.select("lossless").collect())
+    assert one[(0, None)] == [] and one[(5, corpus()[6][1])] != one[(6, corpus()[7][1])]
+
+
+def test_mixing(documents, spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(40)).alias("text"), F.when(F.col("id") % 10 == 0, "small").when(F.col("id") % 10 == 1, F.lit(None)).otherwise("large").alias("source"), F.lit("en").alias("lang"))
+    got = mixing.mix(rows, {"source": F.col("source")}, F.octet_length("text") / 4, {"source": 0.5}, keep=0.4)
+    share = {r["source"]: r["n"] for r in got.where("mix_kept").groupBy("source").agg(F.sum("mix_tokens").alias("n")).collect()}
+    total = sum(share.values())
+    goal = mixing.tempered({"small": 0.1, None: 0.1, "large": 0.8}, 0.5)
+    assert abs(total / (4000 * 50) - 0.4) < 0.03 and all(abs(share[k] / total - goal[k]) < 0.04 for k in goal)
+    mixed = mixing.corpus_mix(documents)
+    assert mixed.count() == len(corpus()) and mixed.where("mix_probability is null").count() == 0
+    assert mixing.corpus_mix(documents.limit(0)).count() == 0
+
+
+def test_mixing_beyond_the_driver(documents, monkeypatch):
+    near = {(r["doc_id"], r["text"]): r["mix_probability"] for r in mixing.corpus_mix(documents).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(mixing, "_rake_frame", lambda c, n, p, rounds, f=mixing._rake_frame: f(c, n, p, 12))
+    far = {(r["doc_id"], r["text"]): r["mix_probability"] for r in mixing.corpus_mix(documents).collect()}
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 0.01 for k in near)
+
+
+def test_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(SQL) <= set(QUERIES)
