@@ -117,10 +117,11 @@ def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, pow
     else:
         fitted = checkpointed(_rake_frame(cells, names, powers, 50).withColumn("r", F.col("w") / F.col("cell_tokens")))
         whole, low, high = fitted.agg(F.sum("cell_tokens")).first()[0], 0.0, 2.0 / max(fitted.agg(F.min("r")).first()[0], 1e-300)
-        for _ in range(60):
-            middle = (low + high) / 2
-            kept = fitted.agg(F.sum(F.least(F.lit(1.0), F.col("r") * middle) * F.col("cell_tokens"))).first()[0]
-            low, high = (middle, high) if kept < keep * whole else (low, middle)
+        for _ in range(8):  # each pass narrows the factor to a sixteenth
+            steps = [low + (high - low) * k / 16 for k in range(17)]
+            kept = fitted.agg(*[F.sum(F.least(F.lit(1.0), F.col("r") * f) * F.col("cell_tokens")) for f in steps]).first()
+            at = max((k for k in range(16) if kept[k] < keep * whole), default=0)
+            low, high = steps[at], steps[at + 1]
         rates = fitted.select(*names, F.least(F.lit(1.0), F.col("r") * high).alias("rate"))
     rates = rates.withColumnsRenamed({c: f"{c}_" for c in names})
     same = F.lit(True)
