@@ -182,16 +182,25 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
         most = seen.shape[1] * 8 - (-coordinates % 8) - matches  # coordinates that may differ
         seventh, top_bit = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
         out_a, out_b = [], []
-        step = 128
+        step, tile, half = 128, 2048, (seen.shape[1] + 1) // 2
         for s in range(0, len(rep), step):  # rows in the order of size, each against the next larger ones
             e = min(s + step, len(rep))
             top = int(np.searchsorted(n, 100 * n[e - 1] // percent, "right"))
-            wanted = (component[s:e, None] != component[None, s:top]) & (np.arange(s, e)[:, None] < np.arange(s, top)[None, :]) & (percent * n[None, s:top] <= 100 * n[s:e, None])
-            if i != j:
-                wanted &= own[s:e, None] != own[None, s:top]
-            p, q = np.nonzero(wanted)
-            for c in range(0, len(p), 100_000):
-                x, y = s + p[c : c + 100_000], s + q[c : c + 100_000]
+            for t in range(s, top, tile):
+                z = min(t + tile, top)
+                wanted = (component[s:e, None] != component[None, t:z]) & (percent * n[None, t:z] <= 100 * n[s:e, None])
+                if t < e:
+                    wanted &= np.arange(s, e)[:, None] < np.arange(t, z)[None, :]
+                if i != j:
+                    wanted &= own[s:e, None] != own[None, t:z]
+                if not wanted.any():
+                    continue
+                # half of the coordinates rule most pairs out
+                off = np.zeros(wanted.shape, np.uint8)
+                for k in range(half):
+                    off += np.bitwise_count(((seen[s:e, None, k] ^ seen[None, t:z, k]) + seventh) & top_bit)
+                x, y = np.nonzero(wanted & (off <= most))
+                x, y = x + s, y + t
                 differ = np.bitwise_count(((seen[x] ^ seen[y]) + seventh) & top_bit).sum(axis=1)
                 x, y = x[differ <= most], y[differ <= most]
                 apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
@@ -201,7 +210,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
         a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pd.DataFrame({"a": a, "b": b})
 
-    crossing = open_.groupBy("key", "i", "j").applyInPandas(merge, "a long, b long").distinct()
+    # Small in bytes and long in time: not to be dealt to fewer tasks than there are partitions.
+    wide = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crossing = open_.repartition(wide, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(merge, "a long, b long").distinct()
     more = confirmed(crossing, held, words, percent)
     final = components(links.unionByName(more))
     known = reps.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep").join(final, F.col("rep") == F.col("node"), "left")
