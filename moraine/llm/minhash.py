@@ -23,7 +23,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,14 +170,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "bytes", "parity")
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        if len(group) > 2:
-            group = group.sort_values("n", kind="stable")
-        rep, component, own, n = (group[c].to_numpy() for c in ("rep", "component", "own", "n"))
-        seen = np.stack(group["bytes"].to_numpy()).astype(np.uint8)  # values below 128
-        seen = np.ascontiguousarray(np.pad(seen, ((0, 0), (0, -coordinates % 8)))).view(np.uint64)
-        parity = np.stack(group["parity"].to_numpy()).view(np.uint64)
+    def merge(i, j, rep, component, own, n, seen, parity):
+        """Pairs (a, b) of one list, whose rows are in the order of size."""
         most = seen.shape[1] * 8 - (-coordinates % 8) - matches  # coordinates that may differ
         seventh, top_bit = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
         out_a, out_b = [], []
@@ -208,11 +201,39 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
                 out_a.append(np.minimum(rep[x[good]], rep[y[good]]))
                 out_b.append(np.maximum(rep[x[good]], rep[y[good]]))
         a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({"a": a, "b": b})
+        return a, b
+
+    def lists(batches):
+        """Lists are many and mostly short: they are cut from sorted batches, the last one carried on."""
+        import pyarrow as pa
+
+        def pairs(columns):
+            key, i, j = columns[:3]
+            head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            found = [merge(int(i[s]), int(j[s]), *[c[s:e] for c in columns[3:]]) for s, e in zip(head, np.r_[head[1:], len(key)]) if e - s > 1]
+            a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "rep", "component", "own", "n")]
+            seen = batch.column("bytes").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(len(batch), -1)  # values below 128
+            seen = np.ascontiguousarray(np.pad(seen, ((0, 0), (0, -coordinates % 8)))).view(np.uint64)
+            parity = np.ascontiguousarray(batch.column("parity").flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(batch), -1)
+            held = [np.concatenate(x) for x in zip(held, [*flat, seen, parity])] if held else [*flat, seen, parity]
+            key, i, j = held[:3]
+            cut = int(np.flatnonzero((key == key[-1]) & (i == i[-1]) & (j == j[-1]))[0])
+            if cut:
+                yield pairs([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held:
+            yield pairs(held)
 
     # Small in bytes and long in time: not to be dealt to fewer tasks than there are partitions.
     wide = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = open_.repartition(wide, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(merge, "a long, b long").distinct()
+    crossing = open_.repartition(wide, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n").mapInArrow(lists, "a long, b long").distinct()
     more = confirmed(crossing, held, words, percent)
     final = components(links.unionByName(more))
     known = reps.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep").join(final, F.col("rep") == F.col("node"), "left")
