@@ -10,6 +10,12 @@ a term near it gives away: with document frequencies over the whole corpus,
 is 1 if the term is seen with the entity only, and 0 if the two are independent.  Terms at or above
 ``generalise`` become a class label, those at or above ``remove`` go.
 
+An entity is a value, and also the group it belongs to (an email's domain, the first two numbers of
+an address, the first six digits of a card, the first four of a phone number), so that values of one
+document are judged with their like.  No count is too small to be judged, but n(term, entity) has to
+be beyond chance: a bound of the probability that independent ones meet so often, times the number of
+terms that could have, is at most ``level``.
+
 Defined cases: null text is empty; all spans are code points, end exclusive; equal rows give equal
 results; ids may be null or repeated (rows are matched by their content); spans of added terms never
 overlap pattern spans.
@@ -17,6 +23,8 @@ overlap pattern spans.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +92,30 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(*k) for k in KINDS]))
 
 
+def _entities(s: Column) -> Column:
+    """The entities of a span: its value and its group."""
+    value, digits = F.lower(s["value"]), _digits(s["value"])
+    group = (
+        F.when(s["rank"] == ORDER["email"], F.substring_index(value, "@", -1)).when(s["rank"] == ORDER["ip"], F.substring_index(value, ".", 2))
+        .when(s["rank"] == ORDER["card"], F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat_ws(":", s["rank"].cast("string"), value), F.concat_ws("~", s["rank"].cast("string"), group))
+
+
+def _log_chance(both: Column, term: Column, entity: Column, n: Column) -> Column:
+    """Upper bound of the log-probability that independent ones meet in ``both`` documents or more: the
+    Poisson tail's first term over one less the ratio of the next, Stirling's bound for the factorial."""
+    mean = term * entity / n
+    first = both * F.log(mean / both) + both - mean - 0.5 * F.log(2 * math.pi * both)
+    return F.when(mean < both, first - F.log(1 - mean / (both + 1))).otherwise(0.0)
+
+
 def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """For each span: its entity, and the text within ``reach`` characters on each side."""
+    """For each span: its entities, and the text within ``reach`` characters on each side."""
     def one(s: Column) -> Column:
         first = F.greatest(s["start"] - reach, F.lit(0))
         return F.struct(
-            F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"),
+            _entities(s).alias("entities"),
             F.array(
                 F.struct(first.alias("at"), F.substring(text, first + 1, s["start"] - first).alias("part")),
                 F.struct(s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(reach)).alias("part")),
@@ -103,11 +129,11 @@ def _contexts(text: Column, spans: Column, reach: int) -> Column:
 TERM = r"\p{L}{4,}+"
 
 
-def detect(documents: DataFrame, reach: int = 48, generalise: float = 0.6, remove: float = 0.9, min_support: int = 3) -> DataFrame:
+def detect(documents: DataFrame, reach: int = 48, generalise: float = 0.6, remove: float = 0.9, level: float = 0.05) -> DataFrame:
     """``documents`` with ``pii_base`` and ``pii_terms`` (spans as structs start, rank, end, value).
 
-    A term has to be near an entity in ``min_support`` documents to be judged; the value of a term
-    span is ``remove`` or ``generalise``.  Needs a column ``text``; columns named ``pii_base`` or
+    ``level`` bounds the probability that any term of an entity is judged to reveal it by chance; the
+    value of a term span is ``remove`` or ``generalise``.  Needs a column ``text``; columns named ``pii_base`` or
     ``pii_terms`` are replaced.
     """
     documents = documents.drop("pii_base", "pii_terms")
@@ -115,21 +141,24 @@ def detect(documents: DataFrame, reach: int = 48, generalise: float = 0.6, remov
     near = checkpointed(
         keyed.where(F.size("pii_base") > 0)
         .select("_key", "pii_base", F.explode(_contexts(F.col("_text"), F.col("pii_base"), reach)).alias("c"))
-        .select("_key", "pii_base", "c.entity", F.explode("c.sides").alias("side"))
+        .select("_key", "pii_base", F.explode("c.entities").alias("entity"), "c.sides")
+        .select("_key", "pii_base", "entity", F.explode("sides").alias("side"))
         .select("_key", "pii_base", "entity", "side.at", F.explode(located(F.col("side.part"), TERM)).alias("t"))
         .select("_key", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"), "pii_base")
         .where(~F.exists("pii_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
         .drop("pii_base")
     )
-    pairs = near.select("_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    entities = keyed.where(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.transform("pii_base", lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
+    pairs = near.select("_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entities = keyed.where(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("pii_base", _entities)))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(documents.count())
+    words = checkpointed(words)
+    total, limit = F.lit(documents.count()), math.log(level / max(words.count(), 1))
     revealing = (
         pairs.join(entities, "entity").join(words, "term").withColumn("n", total)
         .withColumn("ic", F.log(F.col("n") / F.col("n_entity")))
         .withColumn("pmi", F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
+        .where(_log_chance(F.col("n_both"), F.col("n_term"), F.col("n_entity"), F.col("n")) <= limit)
         .select("entity", "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
     )
     terms = (

@@ -99,6 +99,15 @@ def test_personal_data(documents, spark):
     assert pii.digest(pii.detect(frame.limit(0))).count() == 0
 
 
+def test_terms_of_rare_values(spark):
+    texts = ["Write Trillian at t@heart.org"] * 2 + [f"Beeblebrox has n{k}@zaphod.org" for k in range(4)] + [" ".join(["lone@x.org", *(f"word{chr(97 + k)}" * 2 for k in range(26))])]
+    frame = spark.createDataFrame([*enumerate(texts + [f"today is {k}" for k in range(300)])], "doc_id int, text string")
+    spans = {r["doc_id"]: [t for t in r["spans"].split(",") if t.startswith("term")] for r in pii.digest(pii.detect(frame)).collect()}
+    assert spans[0] == spans[1] == ["term:0:5", "term:6:14"]  # a value of two documents
+    assert all(spans[k] == ["term:0:10"] for k in range(2, 6))  # values of one document, by their domain
+    assert spans[6] == [] and spans[7] == []  # met once: no more than chance
+
+
 def test_toxicity(spark):
     dice = random.Random(3)
     words = [f"w{k}rd{k}" for k in range(60)]
