@@ -2,7 +2,7 @@
 
 Everything is a DataFrame expression.  Positions of pattern matches come from splitting the text at
 them and adding up lengths.  Corpus co-occurrence then estimates how much of an entity's information
-a term near it gives away: with document frequencies over the whole corpus,
+a term of its documents gives away: with document frequencies over the whole corpus,
 
     PMI(term, entity) / IC(entity),   PMI = ln(N * n(term, entity) / (n(term) * n(entity))),
                                       IC  = ln(N / n(entity))
@@ -14,7 +14,8 @@ An entity is a value, and also the group it belongs to (an email's domain, the f
 an address, the first six digits of a card, the first four of a phone number), so that values of one
 document are judged with their like.  No count is too small to be judged, but n(term, entity) has to
 be beyond chance: a bound of the probability that independent ones meet so often, times the number of
-terms that could have, is at most ``level``.
+terms that could have, is at most ``level``.  Terms count anywhere in a text outside pattern spans, and every occurrence
+of a term that reveals an entity is a span, in all texts.
 
 Defined cases: null text is empty; all spans are code points, end exclusive; equal rows give equal
 results; ids may be null or repeated (rows are matched by their content); spans of added terms never
@@ -110,65 +111,91 @@ def _log_chance(both: Column, term: Column, entity: Column, n: Column) -> Column
     return F.when(mean < both, first - F.log(1 - mean / (both + 1))).otherwise(0.0)
 
 
-def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """For each span: its entities, and the text within ``reach`` characters on each side."""
-    def one(s: Column) -> Column:
-        first = F.greatest(s["start"] - reach, F.lit(0))
-        return F.struct(
-            _entities(s).alias("entities"),
-            F.array(
-                F.struct(first.alias("at"), F.substring(text, first + 1, s["start"] - first).alias("part")),
-                F.struct(s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(reach)).alias("part")),
-            ).alias("sides"),
-        )
+def masked(text: Column, base: Column) -> Column:
+    """The text with pattern spans overwritten by spaces (positions stay)."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+
+    def close(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
-    return F.transform(spans, one)
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, zero, add, close))
 
 
 #: A term: letters, four or more.
 TERM = r"\p{L}{4,}+"
 
 
-def detect(documents: DataFrame, reach: int = 48, generalise: float = 0.6, remove: float = 0.9, level: float = 0.05) -> DataFrame:
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _occurrences(text: Column, found: Column) -> Column:
+    """Spans of the terms of a text that are in the map ``found``, which has their values."""
+    pieces, values = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["piece"])
+        end = start + F.length(pair["word"])
+        span = F.struct(start.alias("start"), F.lit(ORDER["term"]).alias("rank"), end.alias("end"), pair["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(pair["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    # The last piece has no word after it.  (Zipped, as a lambda would split the text again for each word.)
+    pairs = F.zip_with(pieces, values, lambda p, v: F.struct(p.alias("piece"), v.alias("word"), F.try_element_at(found, F.lower(v)).alias("value")))
+    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+
+
+#: Up to so many revealing terms are sent to every executor; more are joined by shuffles.
+SENT_TERMS = 100_000
+
+
+def detect(documents: DataFrame, generalise: float = 0.6, remove: float = 0.9, level: float = 0.05) -> DataFrame:
     """``documents`` with ``pii_base`` and ``pii_terms`` (spans as structs start, rank, end, value).
 
     ``level`` bounds the probability that any term of an entity is judged to reveal it by chance; the
-    value of a term span is ``remove`` or ``generalise``.  Needs a column ``text``; columns named ``pii_base`` or
-    ``pii_terms`` are replaced.
+    value of a term span is ``remove`` or ``generalise``.  Needs a column ``text``; columns named
+    ``pii_base`` or ``pii_terms`` are replaced.
     """
     documents = documents.drop("pii_base", "pii_terms")
     keyed = documents.withColumn("_key", row_key(*documents.columns)).withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("pii_base", base_spans(F.col("_text")))
-    near = checkpointed(
-        keyed.where(F.size("pii_base") > 0)
-        .select("_key", "pii_base", F.explode(_contexts(F.col("_text"), F.col("pii_base"), reach)).alias("c"))
-        .select("_key", "pii_base", F.explode("c.entities").alias("entity"), "c.sides")
-        .select("_key", "pii_base", "entity", F.explode("sides").alias("side"))
-        .select("_key", "pii_base", "entity", "side.at", F.explode(located(F.col("side.part"), TERM)).alias("t"))
-        .select("_key", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"), "pii_base")
-        .where(~F.exists("pii_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-        .drop("pii_base")
-    )
-    pairs = near.select("_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = keyed.where(F.size("pii_base") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("pii_base", _entities)))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    words = checkpointed(words)
+    own = masked(F.col("_text"), F.col("pii_base"))
+    words = checkpointed(keyed.select(F.explode(_words(own)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
     total, limit = F.lit(documents.count()), math.log(level / max(words.count(), 1))
-    revealing = (
-        pairs.join(entities, "entity").join(words, "term").withColumn("n", total)
+    holders = keyed.where(F.size("pii_base") > 0).select(F.array_distinct(F.flatten(F.transform("pii_base", _entities))).alias("entities"), _words(own).alias("words"))
+    holders = checkpointed(holders.withColumn("_row", F.monotonically_increasing_id()))
+    held = holders.select("_row", F.explode("entities").alias("entity"))
+    # Left out before terms are counted: entities, and then pairs, that would not be beyond chance
+    # even if each term were in documents of the entity only.
+    alone = lambda k: _log_chance(F.col(k), F.col(k), F.col("n_entity"), total) <= limit
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where((3 * F.col("n_entity") > total) | alone("n_entity"))
+    held = held.join(entities, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    pairs = (
+        holders.select("_row", "words").join(held, "_row").select("words", F.explode("held").alias("h"))
+        .select("h.entity", "h.n_entity", F.explode("words").alias("term"))
+        .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(alone("n_both"))
+    )
+    revealing = checkpointed(
+        pairs.join(words, "term").withColumn("n", total)
         .withColumn("ic", F.log(F.col("n") / F.col("n_entity")))
         .withColumn("pmi", F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
         .where(_log_chance(F.col("n_both"), F.col("n_term"), F.col("n_entity"), F.col("n")) <= limit)
-        .select("entity", "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
+        .groupBy("term").agg(F.when(F.max(F.col("pmi") / F.col("ic")) >= remove, "remove").otherwise("generalise").alias("value"))
     )
+    sought = F.broadcast(revealing) if revealing.count() <= SENT_TERMS else revealing
     terms = (
-        near.join(revealing, ["entity", "term"]).groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .select("_key", F.struct("start", F.lit(ORDER["term"]).alias("rank"), "end", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("value")).alias("s"))
-        .groupBy("_key").agg(F.array_sort(F.collect_list("s")).alias("pii_terms"))
-        .withColumnRenamed("_key", "_found")
+        keyed.select(F.col("_key").alias("_found"), F.explode(_words(own)).alias("term")).join(sought, "term")
+        .groupBy("_found").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("_terms"))
     )
     out = keyed.join(terms, keyed._key == terms._found, "left")
-    return out.select(*documents.columns, "pii_base", F.coalesce("pii_terms", F.array().cast(_SPAN)).alias("pii_terms"))
+    found = F.when(F.col("_terms").isNotNull(), _occurrences(own, F.col("_terms"))).otherwise(F.array().cast(_SPAN))
+    return out.select(*documents.columns, "pii_base", found.alias("pii_terms"))
 
 
 def describe(spans: Column) -> Column:

@@ -108,6 +108,14 @@ def test_terms_of_rare_values(spark):
     assert spans[6] == [] and spans[7] == []  # met once: no more than chance
 
 
+def test_terms_anywhere(spark):
+    held = "Slartibartfast " + "of it " * 30 + "is at s@fjord.net, and " + "so " * 40 + "SLARTIBARTFAST"
+    frame = spark.createDataFrame([*enumerate([held] * 4 + ["Ask Slartibartfast"] + [f"today is {k}" for k in range(300)])], "doc_id int, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(frame)).collect()}
+    assert spans[0] == spans[3] == f"term:0:14,email:201:212,term:{len(held) - 14}:{len(held)}"  # far from the address
+    assert spans[4] == "term:4:18" and spans[5] == ""  # and without one
+
+
 def test_toxicity(spark):
     dice = random.Random(3)
     words = [f"w{k}rd{k}" for k in range(60)]
