@@ -3,7 +3,8 @@
 Token totals of the cells (one per combination of source, language and topic) are raked until the
 marginal of each dimension meets its target.  A document's sampling probability is its cell's fitted
 weight over its tokens, times a factor that is calibrated so that the expected tokens kept meet the
-budget (probabilities end at 1).  Whether a document is kept is a hash of its id, so a rerun keeps the
+budget, or the largest budget below at which no probability exceeds 1: the expected shares are the
+targets.  Whether a document is kept is a hash of its id, so a rerun keeps the
 same documents.
 
 Defined cases: nulls in a dimension are a value of their own; null or empty texts count one token;
@@ -90,7 +91,8 @@ def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, pow
     """``documents`` with ``mix_tokens``, ``mix_probability`` and ``mix_kept``.
 
     ``dimensions`` names the cell's expressions, ``powers`` the tempering of each one's target
-    shares; ``keep`` is the part of all tokens to keep.
+    shares; ``keep`` is the part of all tokens to keep, at most (less where the targets need it: a
+    cell that they weight r times as much as it has allows 1 / r).
     """
     own = ["mix_tokens", "mix_probability", "mix_kept"]
     documents = documents.drop(*own)
@@ -112,17 +114,12 @@ def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, pow
             index.append(np.array([place[r[name]] for r in rows], np.int64))
             targets.append(np.array([share[v] for v in totals]))
         ratio = rake(index, held, targets) / np.maximum(held, 1)
-        factor = calibrate(ratio, held, keep * float(held.sum())) if n else 0.0
+        factor = calibrate(ratio, held, min(keep, 1 / float(ratio.max())) * float(held.sum())) if n else 0.0
         rates = cells.sparkSession.createDataFrame([(*[r[c] for c in names], float(min(1.0, factor * x))) for r, x in zip(rows, ratio)], cells.select(*names).schema.add("rate", "double"))
     else:
         fitted = checkpointed(_rake_frame(cells, names, powers, 50).withColumn("r", F.col("w") / F.col("cell_tokens")))
-        whole, low, high = fitted.agg(F.sum("cell_tokens")).first()[0], 0.0, 2.0 / max(fitted.agg(F.min("r")).first()[0], 1e-300)
-        for _ in range(8):  # each pass narrows the factor to a sixteenth
-            steps = [low + (high - low) * k / 16 for k in range(17)]
-            kept = fitted.agg(*[F.sum(F.least(F.lit(1.0), F.col("r") * f) * F.col("cell_tokens")) for f in steps]).first()
-            at = max((k for k in range(16) if kept[k] < keep * whole), default=0)
-            low, high = steps[at], steps[at + 1]
-        rates = fitted.select(*names, F.least(F.lit(1.0), F.col("r") * high).alias("rate"))
+        factor = min(keep, 1 / fitted.agg(F.max("r")).first()[0])  # fitted weights have the sum of the tokens
+        rates = fitted.select(*names, F.least(F.lit(1.0), F.col("r") * factor).alias("rate"))
     rates = rates.withColumnsRenamed({c: f"{c}_" for c in names})
     same = F.lit(True)
     for c in names:

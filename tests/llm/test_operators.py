@@ -210,6 +210,19 @@ def test_mixing(documents, spark):
     assert mixing.corpus_mix(documents.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets_in_production(spark):
+    text = F.concat(F.repeat(F.lit("word "), (F.col("id") % 7 * 10 + 5).cast("int")), F.when(F.col("id") % 11 == 0, "a@b").when(F.col("id") % 13 == 0, "!! ").otherwise(""))
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 == 0, "third").otherwise(F.concat(F.lit("s"), F.col("id") % 17)).alias("source"), F.when(F.col("id") % 19 == 0, "es").otherwise("en").alias("lang"))
+    got = mixing.corpus_mix(rows).persist()
+    assert 0.1 < got.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability")) / F.sum("mix_tokens")).first()[0] <= 0.8
+    for name, power in (("source", 0.5), ("lang", 0.7), ("topic", 0.7)):
+        sums = got.groupBy(f"mix_{name}").agg(F.sum("mix_tokens"), F.sum(F.col("mix_tokens") * F.col("mix_probability")), F.sum(F.when(F.col("mix_kept"), F.col("mix_tokens")).otherwise(0))).collect()
+        goal = mixing.tempered({r[0]: r[1] for r in sums}, power)
+        expected, drawn = (sum(r[k] for r in sums) for k in (2, 3))
+        assert all(abs(r[2] / expected - goal[r[0]]) < 1e-6 and abs(r[3] / drawn - goal[r[0]]) < 0.04 for r in sums)
+    got.unpersist()
+
+
 def test_mixing_beyond_the_driver(documents, monkeypatch):
     near = {(r["doc_id"], r["text"]): r["mix_probability"] for r in mixing.corpus_mix(documents).collect()}
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
