@@ -203,9 +203,9 @@ def extract(pages: DataFrame) -> DataFrame:
     slim = slim.mapInPandas(hashed, "key long, host string, path string, hashes array<long>").dropDuplicates(["key"])
     folder = F.regexp_extract("path", r"^(.*/)[^/]", 1)
     near = _paired(slim.withColumn("folder", folder), "host", "folder")
-    # Pages alone in their folder are paired among themselves.
-    alone = _paired(near.where("other is null").drop("other"), "host")
-    near = near.where("other is not null").select("key", "hashes", "other").unionByName(alone.where("other is not null").select("key", "hashes", "other"))
+    # Pages alone in their folder are paired with the nearest page of the whole host.
+    near = _paired(near.withColumnRenamed("other", "beside"), "host").withColumn("other", F.coalesce("beside", "other"))
+    near = near.where("other is not null").select("key", "hashes", "other")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

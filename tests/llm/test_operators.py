@@ -146,6 +146,13 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def test_lone_pages(spark):
+    site = lambda body: f"<div>Site name here</div><div>{body}</div><div>All rights kept</div>"
+    rows = [(1, "https://h.org/a/1", site("First page says this and that, at length")), (2, "https://h.org/a/2", site("Second page speaks of other things, at length")), (3, "https://h.org/b/9", site("The one page of its folder, with text of its own"))]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3]["text"] == "The one page of its folder, with text of its own" and got[3]["n_shared"] == 2
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     dice = np.random.default_rng(8)
