@@ -152,16 +152,22 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(found: list[tuple[str, int]], shared: set[int]) -> str:
-    """The main text: the article's lines, else those of main, else of the page without what it
-    shares with its neighbour."""
+def _parted(found: list[tuple[str, int]], shared: set[int]) -> tuple[list[str], int]:
+    """The main text's lines, and how many were deleted because the neighbour has them."""
     kept = [(k, text, state) for k, (text, state) in enumerate(found) if not state & CHROME_BIT]
     for want in (ARTICLE, MAIN):
         own = [text for _, text, state in kept if state & want]
         if own:
-            return " ".join(own)
+            return own, 0
     size, common = sum(len(t) for _, t, _ in kept), sum(len(t) for k, t, _ in kept if k in shared)
-    return " ".join(t for k, t, _ in kept if k not in shared or 2 * common > size)
+    own = [t for k, t, _ in kept if k not in shared or 2 * common > size]
+    return own, len(kept) - len(own)
+
+
+def main_text(found: list[tuple[str, int]], shared: set[int]) -> str:
+    """The main text: the article's lines, else those of main, else of the page without what it
+    shares with its neighbour."""
+    return " ".join(_parted(found, shared)[0])
 
 
 def _host(url: Column) -> Column:
@@ -227,8 +233,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for packed, found in zip(part["packed"], part["shared"]):
                 body = unpress.decompress(packed).decode("utf-8", "surrogatepass")
                 own, drop = [(x[1:], int(x[0])) for x in body.split("\n")] if body else [], set() if found is None else set(found)
-                texts.append(main_text(own, drop).encode("utf-8", "replace").decode())
-                gone.append(len(drop))
+                kept, deleted = _parted(own, drop)
+                texts.append(" ".join(kept).encode("utf-8", "replace").decode())
+                gone.append(deleted)
             yield part[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts], n_shared=gone)
 
     types = dict(pages.dtypes)

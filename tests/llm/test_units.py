@@ -54,6 +54,12 @@ def test_page_lines():
     assert html.lines("<p>1 < 2 <b") == [("1 < 2", 0)]
 
 
+def test_lines_deleted_as_shared():
+    assert html._parted(html.lines("<div>site</div><article>own</article>"), {0}) == (["own"], 0)  # by structure
+    plain = html.lines("<div>site name</div><nav>menu</nav><div>a long text of this page</div>")
+    assert html._parted(plain, {0, 1}) == (["a long text of this page"], 1)  # menus go anyway
+
+
 def test_shingle_sets():
     texts = ["", "one", "One one ONE", "a b\ta b", " \n", "x" * 5000, "é b"]
     raw = [t.encode() for t in texts]
