@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -167,14 +166,18 @@ def fit(train: DataFrame, max_train: int = 3000, min_families: int = 6, min_shar
                 for text, label in zip(part["text"], part["label"]):
                     folded = fold_of(text)
                     hits = lexicon.hits(folded, automaton)
-                    out.append((int(label), float(sum(h[3] for h in hits)), len(text), sorted({p for h in hits for p in phrases(folded, h[0])})[:64]))
+                    out.append((int(label), float(sum(h[3] for h in hits)), len(text), sorted({p for h in hits for p in phrases(folded, h[0])})))
                 yield pd.DataFrame(out, columns=["label", "weight", "size", "phrases"])
 
-        seen = sample.mapInPandas(contexts, "label int, weight double, size int, phrases array<string>").collect()
+        read = sample.mapInPandas(contexts, "label int, weight double, size int, phrases array<string>").persist()
+        try:
+            seen = read.select("label", "weight", "size").collect()
+            counts_of = read.select("label", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
+            lexicon.exceptions = {r["phrase"] for r in counts_of.where("clean >= 3 and clean > 9 * toxic").select("phrase").collect()}
+        finally:
+            read.unpersist()
     finally:
         sample.unpersist()
-    by = {k: Counter(p for r in seen if r["label"] == k for p in r["phrases"]) for k in (0, 1)}
-    lexicon.exceptions = {p for p, n in by[0].items() if n >= 3 and n > 9 * by[1].get(p, 0)}
     if seen:
         x = np.array([_inputs(r["weight"], r["size"]) for r in seen])
         y = np.array([r["label"] for r in seen], float)

@@ -134,6 +134,17 @@ def test_toxicity(spark):
     assert again[2] < 0.5
 
 
+def test_exceptions_of_long_texts(spark):
+    dice = random.Random(5)
+    say = lambda n: " ".join(f"w{dice.randrange(9000)}rd" for _ in range(n))
+    many = " ".join(f"a{chr(97 + k // 26)}{chr(97 + k % 26)} vileness" for k in range(100))  # more phrases than 64, and before the last
+    bad = [f"{say(20)} {dice.choice('kmp')}ome vileness {say(20)}" for _ in range(80)] + [f"{say(9)} {many} zzz vileness" for _ in range(20)]
+    train = [(t, 1) for t in bad] + [(say(40), 0) for _ in range(300)] + [(f"{say(40)} zzz vileness", 0) for _ in range(3)] + [(f"{say(40)} zzy vileness", 0) for _ in range(3)]
+    model = toxicity.fit(spark.createDataFrame(train, "text string, label int"))
+    assert any(p.startswith("vil") for p in model.entries)
+    assert "zzy vileness" in model.exceptions and "zzz vileness" not in model.exceptions
+
+
 def test_pages(spark):
     site = lambda body: f"<div>Site name here</div><div>{body}</div><div>All rights kept</div>"
     rows = [
