@@ -29,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of tables that are no longer referenced: its cleaner acts when
     the driver collects garbage, which may be long after."""
@@ -36,10 +44,10 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def row_key(*columns: str | Column) -> Column:
-    """A 64-bit key of a row's content; equal rows get equal keys, so results can be joined back
+def text_key(text: Column) -> Column:
+    """128 bits of a text as one column; equal texts get equal keys, so that results can be joined back
     although ids may be repeated or null."""
-    return F.xxhash64(*columns)
+    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(29), text).alias("k2"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

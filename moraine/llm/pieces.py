@@ -4,8 +4,13 @@ The lattice of a text has a node per character and an edge per vocabulary piece
 Forward filtering gives each node the log-sum of the weights of all paths to it; backward sampling
 walks from the end, taking an incoming edge with its share of that sum, so every segmentation comes
 up with exactly its probability.  No piece crosses the end of a word, so lattices are built per
-distinct word (many at once, cached up to a bound) and all words of many texts are walked in step.
-Random numbers are hashes of (seed, row key, word number, step): results depend on the row alone.
+distinct word (many at once) and all words of many texts are walked in step.  Random numbers are
+hashes of (seed, row key, word number, step), and an edge's threshold is a 32-bit integer that its
+own word alone sets: results depend on the row alone, whatever was read before it.
+
+Lattices are kept in arrays of a fixed size for the words to come (``bound`` bytes a worker process);
+when they are full they start anew.  Words are learned and walked in slices, so neither long texts nor
+large batches need more memory; only a single word longer than the whole cache does.
 
 Weights: a unigram model's own log-probabilities; for a merge (BPE) model, whose scores are ranks,
 ``-log(rank + 2)``.  ``alpha`` sharpens them.  Characters without a piece become their bytes.
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+from moraine.llm.common import fresh
 from moraine.llm.shingles import mix
 
 _MARK, _STOP = "▁", "\x00"
@@ -34,14 +40,18 @@ _WORDS = re.compile(r"\n| *[^ \n]+| +")
 
 
 class Sampler:
-    """One vocabulary with its lattice cache.  ``bound``: words cached before the cache starts anew."""
+    """One vocabulary with its lattice cache.  ``bound``: bytes that the cache takes at most."""
 
-    def __init__(self, model: str, alpha: float = 1.0, bound: int = 350_000):
+    def __init__(self, model: str, alpha: float = 1.0, bound: int = 48 << 20):
         import sentencepiece
 
         spm = sentencepiece.SentencePieceProcessor(model_file=model)
         n = spm.get_piece_size()
-        self.bound, self.bytes_of, self.byte_id, plain = bound, [b""] * n, [0] * 256, {}
+        self.bytes_of, self.byte_id, plain = [b""] * n, [0] * 256, {}
+        # A word takes about 200 bytes with its dictionary entry, and has about 10 nodes of 5 bytes and 20
+        # edges of 12 bytes.
+        words = max(bound // 500, 64)
+        self.rooms = {"words": words, "nodes": 11 * words, "edges": 21 * words}
         scores = [spm.get_score(i) for i in range(n)]
         ranked = min((s for i, s in enumerate(scores) if not (spm.is_control(i) or spm.is_unknown(i) or spm.is_byte(i))), default=0) < -1000
         for i in range(n):
@@ -74,21 +84,19 @@ class Sampler:
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, nodes: int = 0, edges: int = 0) -> None:
+        """An empty cache, with room for a word of so many nodes and edges."""
+        nodes, edges = max(nodes, self.rooms["nodes"]), max(edges, self.rooms["edges"])
         self.ends: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.cum, self.came, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
-        self.root, self.first = np.zeros(1 << 16, bool), np.empty(1 << 16, np.int64)
-
-    def _room(self, name: str, more: int, used: int) -> None:
-        old = getattr(self, name)
-        if used + more > len(old):
-            new = np.zeros(max(2 * len(old), used + more), old.dtype)
-            new[:used] = old[:used]
-            setattr(self, name, new)
-
-    def _add(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, roots: np.ndarray, nodes: int) -> None:
-        """Forward filtering over lattices laid out side by side; edges ordered by their end."""
+        self.upto, self.came, self.piece = np.empty(edges, np.uint32), np.empty(edges, np.int32), np.empty(edges, np.int32)
+        self.root, self.first = np.zeros(nodes, bool), np.empty(nodes, np.int32)
+
+    def _add(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, roots: np.ndarray, nodes: int) -> bool:
+        """Forward filtering over lattices laid out side by side; edges ordered by their end.  False
+        if there is no room for them."""
+        if self.nodes + nodes > len(self.root) or self.edges + len(end) > len(self.upto):
+            return False
         level = end - roots[np.searchsorted(roots, end, "right") - 1]
         total = np.full(nodes, -np.inf)
         total[roots] = 0
@@ -109,85 +117,114 @@ class Sampler:
             share[e] = got / np.repeat(mass, size)
         head = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         size = np.diff(np.r_[head, len(end)])
-        cum = np.cumsum(share)
-        cum -= np.repeat(np.r_[0, cum[head[1:] - 1]], size)
-        cum[head + size - 1] = 1.0
-        for name in ("cum", "came", "piece"):
-            self._room(name, len(end), self.edges)
-        for name in ("root", "first"):
-            self._room(name, nodes, self.nodes)
+        for k in range(1, int(size.max(initial=1))):  # running sums within each node's edges only
+            at = head[size > k] + k
+            share[at] += share[at - 1]
+        upto = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(np.uint32)  # the last draw of each edge
+        upto[head + size - 1] = 0xFFFFFFFF
         s = slice(self.edges, self.edges + len(end))
-        self.cum[s], self.came[s], self.piece[s] = self.nodes + end + np.minimum(cum, 1.0), self.nodes + start, piece
+        self.upto[s], self.came[s], self.piece[s] = upto, self.nodes + start, piece
         self.root[self.nodes : self.nodes + nodes] = False
         self.root[self.nodes + roots] = True
         self.first[self.nodes : self.nodes + nodes] = self.edges + np.searchsorted(end, np.arange(nodes))
         self.edges += len(end)
         self.nodes += nodes
+        return True
+
+    def _lattices(self, words: list[str]):
+        """(start, end, piece, roots, nodes, ends) of the lattices of words whose characters are all pieces."""
+        joined = _STOP.join(words) + _STOP
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size + 1) - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        lone = np.ones(len(joined), bool)
+        lone[stop] = False
+        lone = np.flatnonzero(lone)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)[lone]
+        end = np.concatenate([lone, found[:, 0]]) + 1
+        value = np.concatenate([self.single[code].astype(np.int64) * 64 + 1, found[:, 1]])
+        order = np.argsort(end, kind="stable")
+        end, value = end[order], value[order]
+        return end - value % 64, end, (value // 64).astype(np.int64), stop - size, len(joined), stop
+
+    def _mixed_lattice(self, word: str):
+        """The same of one word with characters that become bytes: a node per byte of each."""
+        edges, at = [], [0]
+        for k, c in enumerate(word):
+            if c in self.known:
+                at.append(at[-1] + 1)
+                edges += [(at[k + 1 - n], at[k + 1], self.plain[word[k + 1 - n : k + 1]]) for n in range(1, min(self.longest, k + 1) + 1) if word[k + 1 - n : k + 1] in self.plain]
+            else:
+                raw = c.encode()
+                edges += [(at[k] + b, at[k] + b + 1, self.byte_id[x]) for b, x in enumerate(raw)]
+                at.append(at[k] + len(raw))
+        e = np.array(sorted(edges, key=lambda x: x[1]), np.int64)
+        return e[:, 0], e[:, 1], e[:, 2], np.array([0]), at[-1] + 1, np.array([at[-1]])
+
+    def _hold(self, words: list[str], made) -> bool:
+        *lattice, nodes, ends = made
+        base = self.nodes
+        if not self._add(*lattice, nodes):
+            return False
+        self.ends.update(zip(words, (base + ends).tolist()))
+        return True
 
-    def learn(self, words: list[str]) -> None:
-        """Build the lattices of new words."""
+    def learn(self, words: list[str]) -> bool:
+        """Build the lattices of new words; false if the cache has no room for them."""
+        if len(self.ends) + len(words) > self.rooms["words"] and self.ends:
+            return False
         simple = [w for w in words if self.known.issuperset(w)]
-        if simple:
-            joined = _STOP.join(simple) + _STOP
-            size = np.fromiter(map(len, simple), np.int64, len(simple))
-            stop = np.cumsum(size + 1) - 1
-            found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-            lone = np.ones(len(joined), bool)
-            lone[stop] = False
-            lone = np.flatnonzero(lone)
-            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)[lone]
-            end = np.concatenate([lone, found[:, 0]]) + 1
-            value = np.concatenate([self.single[code].astype(np.int64) * 64 + 1, found[:, 1]])
-            order = np.argsort(end, kind="stable")
-            end, value = end[order], value[order]
-            base = self.nodes
-            self._add(end - value % 64, end, (value // 64).astype(np.int64), stop - size, len(joined))
-            self.ends.update(zip(simple, (base + stop).tolist()))
-        for w in words:
-            if w in self.ends:
-                continue
-            edges, at = [], [0]  # a node per byte of a character without a piece
-            for k, c in enumerate(w):
-                if c in self.known:
-                    at.append(at[-1] + 1)
-                    edges += [(at[k + 1 - n], at[k + 1], self.plain[w[k + 1 - n : k + 1]]) for n in range(1, min(self.longest, k + 1) + 1) if w[k + 1 - n : k + 1] in self.plain]
-                else:
-                    raw = c.encode()
-                    edges += [(at[k] + b, at[k] + b + 1, self.byte_id[x]) for b, x in enumerate(raw)]
-                    at.append(at[k] + len(raw))
-            e = np.array(sorted(edges, key=lambda x: x[1]), np.int64)
-            base = self.nodes
-            self._add(e[:, 0], e[:, 1], e[:, 2], np.array([0]), at[-1] + 1)
-            self.ends[w] = base + at[-1]
-
-    def encode(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets) sampled for rows with these 64-bit seeds."""
+        if simple and not self._hold(simple, self._lattices(simple)):
+            return False
+        return all(self._hold([w], self._mixed_lattice(w)) for w in words if w not in self.ends)
+
+    def _node_of(self, words: list[str]) -> np.ndarray:
+        """The last node of each word's lattice."""
+        if len(self.upto) > self.rooms["edges"]:
+            self.clear()  # a large word has been
+        new = sorted({w for w in words if w not in self.ends})
+        if new and not self.learn(new):
+            self.clear()
+            every = sorted(set(words))
+            if not self.learn(every):  # a word or a slice beyond the bound: room for it, given back with the next
+                size = sum(4 * len(w) + 1 for w in every)
+                self.clear(size, size * (self.longest + 1))
+                self.learn(every)
+        return np.fromiter(map(self.ends.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str], seeds: np.ndarray, step: int = 32768, width: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets) sampled for rows with these 64-bit seeds; ``step`` words or
+        ``width`` characters at most at a time."""
         words, counts = [], []
         for t in texts:
             own = _WORDS.findall(" " + t) if t else []  # the model puts a space before a text
             counts.append(len(own))
             words += own
-        if len(self.ends) > self.bound:
-            self.clear()
-        new = {w for w in words if w not in self.ends}
-        if new:
-            self.learn(sorted(new))
         n = len(words)
         counts = np.array(counts, np.int64)
         first = np.cumsum(counts) - counts
-        node = np.fromiter(map(self.ends.__getitem__, words), np.int64, n)
         place = np.arange(n) - np.repeat(first, counts)
         seed = mix(np.repeat(seeds.astype(np.uint64), counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        live, cum, steps, taken = np.arange(n), self.cum[: self.edges], np.zeros(n, np.int64), []
-        step = 0
+        upto = np.cumsum(np.fromiter(map(len, words), np.int64, n))
+        parts, sizes, s = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while s < n:
+            e = min(s + step, max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + width, "right"))))
+            ids, steps = self._walk(self._node_of(words[s:e]), seed[s:e])
+            parts.append(ids)
+            sizes.append(steps)
+            s = e
+        return np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))][np.r_[first, n]]
+
+    def _walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling of words with these last nodes: their pieces in order, and how many each has."""
+        live, steps, taken, step = np.arange(len(node)), np.zeros(len(node), np.int64), [], 0
         while len(live):
-            u = (mix(seed[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            key = node + np.minimum(u, 1 - 2.0**-20)  # node numbers take bits from the fraction
+            draw = (mix(seed[live] + np.uint64(step)) >> np.uint64(32)).astype(np.uint32)
             edge = self.first[node]
-            left = np.flatnonzero(cum[edge] <= key)
+            left = np.flatnonzero(self.upto[edge] < draw)
             while len(left):  # a node has two edges on average
                 edge[left] += 1
-                left = left[cum[edge[left]] <= key[left]]
+                left = left[self.upto[edge[left]] < draw[left]]
             taken.append((live, self.piece[edge]))
             steps[live] += 1
             node = self.came[edge]
@@ -195,11 +232,10 @@ class Sampler:
             live, node = live[more], node[more]
             step += 1
         stop = np.cumsum(steps)
-        ids = np.empty(int(stop[-1]) if n else 0, np.int32)
+        ids = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
         for k, (who, piece) in enumerate(taken):
             ids[stop[who] - 1 - k] = piece
-        bounds = np.r_[0, stop][np.r_[first, n]] if n else np.zeros(len(texts) + 1, np.int64)
-        return ids, bounds
+        return ids, steps
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the text that the pieces stand for."""
@@ -221,15 +257,16 @@ def encode(documents: DataFrame, model: str, alpha: float = 1.0, seed: int = 1,
     """All columns of ``documents`` and ``pieces`` (array of int), ``lossless`` (whether decoding
     gives the text back); columns of these names are replaced.  ``model`` is a path that every
     executor can open.  One narrow pass."""
-    rest = documents.drop("pieces", "lossless").withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key)))
-    schema = StructType([*[f for f in rest.schema.fields if f.name != "_seed"], StructField("pieces", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
+    rest = documents.drop("pieces", "lossless")
+    seeded = fresh(rest, "seed")
+    schema = StructType([*rest.schema.fields, StructField("pieces", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
 
     def run(batches):
         import pyarrow as pa
 
         tool = sampler(model, alpha)
         for batch in batches:
-            column, seeds = batch.column(text), batch.column("_seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            column, seeds = batch.column(text), batch.column(seeded).to_numpy(zero_copy_only=False).view(np.uint64)
             at = 0
             while at < len(batch):
                 texts, size, begin = [], 0, at
@@ -241,7 +278,7 @@ def encode(documents: DataFrame, model: str, alpha: float = 1.0, seed: int = 1,
                 good = [tool.decode(ids[a:b]) == t.encode() for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 part = batch.slice(begin, at - begin)
-                part = part.select([c for c in part.schema.names if c != "_seed"])
+                part = part.select([c for c in part.schema.names if c != seeded])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(good)], names=[*part.schema.names, "pieces", "lossless"])
 
-    return rest.mapInArrow(run, schema)
+    return rest.withColumn(seeded, F.xxhash64(F.lit(seed), F.col(key))).mapInArrow(run, schema)
