@@ -32,6 +32,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
 _INNER = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+#: Characters of a prefix.  Whole words count at any length.
 _SHORTEST, _LONGEST = 3, 12
 
 
@@ -50,7 +51,7 @@ def _features(words: set[str]) -> set[str]:
     for w in words:
         for n in range(_SHORTEST, min(len(w), _LONGEST) + 1):
             out.add(w[:n])
-        if _SHORTEST <= len(w) <= _LONGEST:
+        if len(w) >= _SHORTEST:
             out.add(w + "$")
     return out
 
@@ -109,8 +110,14 @@ def phrases(text: str, start: int) -> list[str]:
     own = _WORD.match(text, start)
     if not own:
         return []
-    before, after = _WORD.findall(text[max(0, start - 40) : start]), _WORD.search(text, own.end())
-    out = [f"{before[-1]} {own[0]}"] if before else []
+    to = start
+    while to and not text[to - 1].isalnum():
+        to -= 1
+    at = to
+    while at and text[at - 1].isalnum():
+        at -= 1
+    after = _WORD.search(text, own.end())
+    out = [f"{text[at:to]} {own[0]}"] if at < to else []
     return out + ([f"{own[0]} {after[0]}"] if after else [])
 
 
@@ -239,11 +246,12 @@ def score(documents: DataFrame, lexicon: Lexicon, text: str = "text", name: str
         lexicon = known.value
         automaton = lexicon.automaton()
         for part in parts:
-            scores, hits = [], []
-            for t in part.column(text).to_pylist():
-                found = lexicon.hits(fold(t), automaton) if t else []
-                scores.append(lexicon.score(sum(h[3] for h in found), len(t or "")))
-                hits.append(len(found))
+            scores, hits, column = [], [], part.column(text)
+            for s in range(0, len(part), 256):  # texts as Python strings take several times their bytes
+                for t in column.slice(s, 256).to_pylist():
+                    found = lexicon.hits(fold(t), automaton) if t else []
+                    scores.append(lexicon.score(sum(h[3] for h in found), len(t or "")))
+                    hits.append(len(found))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(hits, pa.int32())], names=[*part.schema.names, name, f"{name}_hits"])
 
     return rest.mapInArrow(run, schema)
