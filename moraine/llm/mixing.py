@@ -1,28 +1,30 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token totals of the cells (one per combination of source, language and topic) are raked until the
-marginal of each dimension meets its target.  A document's sampling probability is its cell's fitted
-weight over its tokens, times a factor that is calibrated so that the expected tokens kept meet the
-budget, or the largest budget below at which no probability exceeds 1: the expected shares are the
-targets.  Whether a document is kept is a hash of its id, so a rerun keeps the
+marginal of each dimension meets its target.  The fitted weight of a cell over its tokens is a product
+of one factor for each dimension's value, so documents need only the factors, not the cells.  A
+document's sampling probability is that product times a factor that is calibrated so that the expected
+tokens kept meet the budget, or the largest budget below at which no probability exceeds 1: the
+expected shares are the targets.  Whether a document is kept is a hash of its id, so a rerun keeps the
 same documents.
 
+Cells stay in a distributed table, whatever their number; a round is an aggregation and a join of it for
+each dimension, and rounds end when all marginals are within ``tolerance`` of their targets.
+
 Defined cases: nulls in a dimension are a value of their own; null or empty texts count one token;
-rows of equal id and cell are kept or dropped together; an empty table gives an empty result; target
-values that no cell has are left out and the rest is scaled up; columns named like the results are
-replaced.
+rows of equal id and cell are kept or dropped together; an empty table gives an empty result; columns
+named like the results are replaced.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.common import checkpointed
 
-#: Up to so many cells are fitted in the driver's memory; beyond, the same steps run as joins.
-DRIVER_CELLS = 100_000
+#: A dimension's factors are sent to every executor up to so many values; more are joined by shuffles.
+SENT_VALUES = 100_000
 
 
 def topic(text: Column) -> Column:
@@ -34,99 +36,66 @@ def topic(text: Column) -> Column:
     )
 
 
-def tempered(totals: dict, power: float) -> dict:
-    """Target shares: actual shares raised to ``power`` (below 1: small values gain)."""
-    raised = {k: v**power for k, v in totals.items()}
-    whole = sum(raised.values())
-    return {k: v / whole for k, v in raised.items()}
-
-
-def rake(index: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Fitted cell weights (their sum is that of ``tokens``).  ``index[d]`` numbers each cell's value
-    in dimension d, ``targets[d]`` has the share of each value."""
-    w, whole = tokens.astype(float).copy(), float(tokens.sum())
-    for _ in range(rounds):
-        off = 0.0
-        for at, share in zip(index, targets):
-            now = np.bincount(at, w, len(share))
-            scale = np.divide(share * whole, now, out=np.zeros(len(share)), where=now > 0)
-            off = max(off, float(np.abs(now - share * whole).max(initial=0)) / max(whole, 1))
-            w *= scale[at]
-        if off < tolerance:
-            break
-    return w
-
-
-def calibrate(ratio: np.ndarray, tokens: np.ndarray, budget: float) -> float:
-    """The factor f for which sum(min(1, f * ratio) * tokens) is the budget."""
-    order = np.argsort(-ratio)
-    r, t = ratio[order], tokens[order].astype(float)
-    full = np.r_[0.0, np.cumsum(t)]
-    rest = np.r_[np.cumsum((r * t)[::-1])[::-1], 0.0]
-    for k in range(len(r)):  # the first k cells are kept whole
-        f = (budget - full[k]) / rest[k] if rest[k] > 0 else np.inf
-        if f * r[k] <= 1:
-            return float(f)
-    return float("inf")
-
-
-def _rake_frame(cells: DataFrame, names: list[str], powers: dict[str, float], rounds: int) -> DataFrame:
-    """The same fitting with joins, for cell tables that no driver should hold."""
+def raked(cells: DataFrame, names: list[str], powers: dict[str, float], rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
+    """``cells`` (``names``, ``cell_tokens``) with the fitted factor of each dimension's value,
+    ``factor_<n>`` for the n-th.  Target shares are the actual ones raised to the dimension's power
+    (below 1: small values gain).  Marginals are off by ``tolerance`` of all tokens at most."""
     whole = cells.agg(F.sum("cell_tokens")).first()[0]
-    fitted = cells.withColumn("w", F.col("cell_tokens").cast("double"))
-    targets = {}
-    for n in names:
-        raised = cells.groupBy(n).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(powers[n])).alias("g"))
-        targets[n] = checkpointed(raised.select(F.col(n).alias("_v"), (F.col("g") * whole / raised.agg(F.sum("g")).first()[0]).alias("goal")))
+    factors = [f"factor_{n}" for n in range(len(names))]
+    fitted = cells.withColumns({f: F.lit(1.0) for f in factors})
+    if not whole:
+        return fitted
+    goals = []
+    for name in names:
+        raised = checkpointed(cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(powers[name])).alias("goal")))
+        goals.append(raised.withColumn("goal", F.col("goal") * (whole / raised.agg(F.sum("goal")).first()[0])))
+    weight = F.col("cell_tokens").cast("double")
+    for f in factors:
+        weight = weight * F.col(f)
     for _ in range(rounds):
-        for n in names:
-            now = fitted.groupBy(F.col(n).alias("_n")).agg(F.sum("w").alias("now"))
-            scale = now.join(targets[n], F.col("_n").eqNullSafe(F.col("_v"))).select("_n", (F.col("goal") / F.col("now")).alias("s"))
-            fitted = fitted.join(scale, F.col(n).eqNullSafe(F.col("_n"))).select(*cells.columns, (F.col("w") * F.col("s")).alias("w"))
+        fitted = fitted.withColumn("off", F.lit(0.0))
+        for name, f, goal in zip(names, factors, goals):
+            now = fitted.groupBy(F.col(name).alias("v")).agg(F.sum(weight).alias("now"))
+            scale = now.join(goal, F.col("v").eqNullSafe(F.col("value"))).select("v", (F.col("goal") / F.col("now")).alias("scale"), (F.abs(F.col("goal") - F.col("now")) / whole).alias("by"))
+            fitted = fitted.join(scale, F.col(name).eqNullSafe(F.col("v"))).withColumn(f, F.col(f) * F.col("scale")).withColumn("off", F.greatest("off", "by")).drop("v", "scale", "by")
         fitted = checkpointed(fitted)
-    return fitted
+        if fitted.agg(F.max("off")).first()[0] <= tolerance:
+            break
+    return fitted.drop("off")
 
 
 def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float], keep: float = 0.8, seed: int = 11, key: str = "doc_id") -> DataFrame:
-    """``documents`` with ``mix_tokens``, ``mix_probability`` and ``mix_kept``.
+    """``documents`` with ``mix_tokens``, ``mix_probability``, ``mix_kept`` and the cell's values,
+    ``mix_<dimension>``.
 
     ``dimensions`` names the cell's expressions, ``powers`` the tempering of each one's target
     shares; ``keep`` is the part of all tokens to keep, at most (less where the targets need it: a
     cell that they weight r times as much as it has allows 1 / r).
     """
-    own = ["mix_tokens", "mix_probability", "mix_kept"]
+    own = ["mix_tokens", "mix_probability", "mix_kept", *(f"mix_{d}" for d in dimensions)]
     documents = documents.drop(*own)
-    columns, names = documents.columns, [f"_cell_{d}" for d in dimensions]
-    tagged = documents.withColumns({f"_cell_{d}": e for d, e in dimensions.items()} | {"mix_tokens": F.greatest(F.coalesce(tokens, F.lit(1)).cast("long"), F.lit(1))})
+    columns, names = documents.columns, [f"cell_{n}" for n in range(len(dimensions))]
+    flagged = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*flagged))), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    tagged = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), draw.alias("draw"), F.greatest(F.coalesce(tokens, F.lit(1)).cast("long"), F.lit(1)).alias("mix_tokens"),
+        *[e.alias(n) for n, e in zip(names, dimensions.values())],
+    )
     cells = checkpointed(tagged.groupBy(*names).agg(F.sum("mix_tokens").alias("cell_tokens")))
-    powers = {f"_cell_{d}": powers.get(d, 1.0) for d in dimensions}
-    n = cells.count()
-    if n <= DRIVER_CELLS:
-        rows = cells.collect()
-        held = np.array([r["cell_tokens"] for r in rows], np.int64)
-        index, targets = [], []
-        for name in names:
-            totals: dict = {}
-            for r in rows:
-                totals[r[name]] = totals.get(r[name], 0) + r["cell_tokens"]
-            place = {v: k for k, v in enumerate(totals)}
-            share = tempered(totals, powers[name])
-            index.append(np.array([place[r[name]] for r in rows], np.int64))
-            targets.append(np.array([share[v] for v in totals]))
-        ratio = rake(index, held, targets) / np.maximum(held, 1)
-        factor = calibrate(ratio, held, min(keep, 1 / float(ratio.max())) * float(held.sum())) if n else 0.0
-        rates = cells.sparkSession.createDataFrame([(*[r[c] for c in names], float(min(1.0, factor * x))) for r, x in zip(rows, ratio)], cells.select(*names).schema.add("rate", "double"))
-    else:
-        fitted = checkpointed(_rake_frame(cells, names, powers, 50).withColumn("r", F.col("w") / F.col("cell_tokens")))
-        factor = min(keep, 1 / fitted.agg(F.max("r")).first()[0])  # fitted weights have the sum of the tokens
-        rates = fitted.select(*names, F.least(F.lit(1.0), F.col("r") * factor).alias("rate"))
-    rates = rates.withColumnsRenamed({c: f"{c}_" for c in names})
-    same = F.lit(True)
-    for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*columns))), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    out = tagged.join(rates, same, "left").withColumn("_draw", draw)
-    return out.select(*columns, "mix_tokens", F.col("rate").alias("mix_probability"), (F.col("_draw") < F.col("rate")).alias("mix_kept"), *names).withColumnsRenamed({f"_cell_{d}": f"mix_{d}" for d in dimensions})
+    fitted = raked(cells, names, {n: powers.get(d, 1.0) for n, d in zip(names, dimensions)})
+    rate = F.lit(1.0)
+    for n in range(len(names)):
+        rate = rate * F.col(f"factor_{n}")
+    most = fitted.agg(F.max(rate)).first()[0] or 1.0
+    out = tagged
+    for n, name in enumerate(names):
+        factor = fitted.groupBy(F.col(name).alias(f"value_{n}")).agg(F.first(f"factor_{n}").alias(f"factor_{n}"))
+        factor = F.broadcast(factor) if factor.count() <= SENT_VALUES else factor
+        out = out.join(factor, F.col(name).eqNullSafe(F.col(f"value_{n}")), "left")
+    # The fitted weights have the sum of the tokens, so a factor is the part that is kept.
+    rate = F.least(F.lit(1.0), rate * min(keep, 1 / most))
+    found = out.select("row", "mix_tokens", rate.alias("mix_probability"), (F.col("draw") < rate).alias("mix_kept"), *[F.col(n).alias(f"mix_{d}") for n, d in zip(names, dimensions)])
+    return found.select("row.*", *own)
 
 
 def corpus_mix(documents: DataFrame, keep: float = 0.8) -> DataFrame:
