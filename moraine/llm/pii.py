@@ -18,7 +18,7 @@ terms that could have, is at most ``level``.  Terms count anywhere in a text out
 of a term that reveals an entity is a span, in all texts.
 
 Defined cases: null text is empty; all spans are code points, end exclusive; equal rows give equal
-results; ids may be null or repeated (rows are matched by their content); spans of added terms never
+results; ids may be null or repeated (texts are matched by their content); spans of added terms never
 overlap pattern spans.
 """
 
@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import checkpointed, row_key
+from moraine.llm.common import checkpointed, text_key
 
 #: Kind, pattern in Java syntax, and a cheap test for texts that may hold one.  Runs are possessive,
 #: so that long ones need no stack; and as a run that fails from its start fails from everywhere in
@@ -163,7 +163,9 @@ def detect(documents: DataFrame, generalise: float = 0.6, remove: float = 0.9, l
     ``pii_base`` or ``pii_terms`` are replaced.
     """
     documents = documents.drop("pii_base", "pii_terms")
-    keyed = documents.withColumn("_key", row_key(*documents.columns)).withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("pii_base", base_spans(F.col("_text")))
+    text = F.coalesce("text", F.lit(""))
+    # The caller's columns travel as one, so that they clash with none of ours; a text's key has 128 bits.
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), text.alias("_text"), text_key(text).alias("_key"), base_spans(text).alias("pii_base"))
     own = masked(F.col("_text"), F.col("pii_base"))
     words = checkpointed(keyed.select(F.explode(_words(own)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
     total, limit = F.lit(documents.count()), math.log(level / max(words.count(), 1))
@@ -193,9 +195,9 @@ def detect(documents: DataFrame, generalise: float = 0.6, remove: float = 0.9, l
         keyed.select(F.col("_key").alias("_found"), F.explode(_words(own)).alias("term")).join(sought, "term")
         .groupBy("_found").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("_terms"))
     )
-    out = keyed.join(terms, keyed._key == terms._found, "left")
+    out = keyed.join(terms, F.col("_key") == F.col("_found"), "left")
     found = F.when(F.col("_terms").isNotNull(), _occurrences(own, F.col("_terms"))).otherwise(F.array().cast(_SPAN))
-    return out.select(*documents.columns, "pii_base", found.alias("pii_terms"))
+    return out.select("row", "pii_base", found.alias("pii_terms")).select("row.*", "pii_base", "pii_terms")
 
 
 def describe(spans: Column) -> Column:
