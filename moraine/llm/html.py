@@ -1,15 +1,16 @@
-"""Main text of web pages: structure, and differencing against the page with the nearest URL.
+"""Main text of web pages: differencing against the page with the nearest URL, then structure.
 
 A page is cut into text lines (one per block element).  Within each host, a page is paired with the
-page whose URL path is nearest (pages of one folder first); the lines of the two are aligned by
-their longest common subsequence, and shared lines are deleted: they are the site's, not the
-page's.  Lines inside an ``article`` or ``main`` element are the page's own even if another page has
-them too (copies of an article stay whole), and where no such element exists nothing is deleted if
-the pages are copies of each other.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are recognised by element, role, class and id.
-
-Defined cases: null or empty html gives an empty text; unknown URLs count as one host; repeated
-rows give repeated results; pages of any length are read whole.
+page of the nearest URL path whose lines differ; the lines of the two are aligned by their longest
+common subsequence, and shared lines are deleted: they are the site's, not the page's.  Lines inside an
+``article`` or ``main`` element are the page's own even if another page has them too.  Then structure
+takes what differencing left: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and comments are recognised by element, role, class and id, and the text of an ``article`` (or ``main``)
+is the main text where there is one.
+
+Defined cases: null or empty html gives an empty text; unknown URLs count as one host; copies of a page
+have one partner; a page without a page that differs on its host loses nothing to differencing; repeated
+rows give repeated results; pages and URLs of any length are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import xxhash
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import row_key
+from moraine.llm.common import checkpointed
 
 # Element names and the words of class, id and role that mark what is not main text.
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea select head title".split())
@@ -39,16 +41,31 @@ MARKS = frozenset(
     "social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget toolbar "
     "contentinfo complementary search form dialog hidden".split()
 )
+#: Words that say nothing of a compound name's meaning: it is marked if all its other words are.
+NEUTRAL = frozenset(
+    "site page global main top bottom left right side box wrapper wrap container inner outer area section block bar unit slot list item items link links "
+    "button buttons text title post posts article articles content primary secondary col column row fixed sticky widgets panel".split()
+)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_TOKEN = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 #: What a line is: in an article, in main, in neither; plus CHROME_BIT if something marks it as not main text.
 PLAIN, MAIN, ARTICLE, CHROME_BIT = 0, 1, 2, 4
 
 
+def _named(name: str, inside: int) -> bool:
+    """Whether a class or id is the name of something that is not main text: each of its words is a mark
+    or says nothing, and one is a mark ("ad-box" is, "no-sidebar" and "overflow-hidden" are not)."""
+    words = set(_PARTS.findall(name))
+    marks = words & MARKS
+    if "header" in words and not inside and not words & {"article", "post", "content"}:
+        marks.add("header")
+    return bool(marks) and words - marks <= NEUTRAL
+
+
 def _marked(name: str, attributes: str, inside: int) -> bool:
     if name in CHROME or (name == "header" and not inside):
         return True
@@ -64,10 +81,8 @@ def _marked(name: str, attributes: str, inside: int) -> bool:
         elif key == "role":
             if value in MARKS or value == "banner":
                 return True
-        elif key in ("class", "id"):
-            words = set(_TOKEN.findall(value))
-            if words & MARKS or ("header" in words and not inside and not words & {"article", "post", "entry", "content"}):
-                return True
+        elif any(_named(x, inside) for x in value.split()):
+            return True
     return False
 
 
@@ -153,20 +168,23 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
 
 
 def _parted(found: list[tuple[str, int]], shared: set[int]) -> tuple[list[str], int]:
-    """The main text's lines, and how many were deleted because the neighbour has them."""
-    kept = [(k, text, state) for k, (text, state) in enumerate(found) if not state & CHROME_BIT]
+    """The main text's lines, and how many differencing deleted.
+
+    Differencing comes first: a line that the partner has too goes, unless it is inside an article or
+    main element, whose text is the page's own.  Of what is left, lines marked as not main text go; then
+    the article's lines are the text, else those of main, else all.
+    """
+    left = [(text, state) for k, (text, state) in enumerate(found) if k not in shared or (state & (ARTICLE | MAIN) and not state & CHROME_BIT)]
+    own = [(text, state) for text, state in left if not state & CHROME_BIT]
     for want in (ARTICLE, MAIN):
-        own = [text for _, text, state in kept if state & want]
-        if own:
-            return own, 0
-    size, common = sum(len(t) for _, t, _ in kept), sum(len(t) for k, t, _ in kept if k in shared)
-    own = [t for k, t, _ in kept if k not in shared or 2 * common > size]
-    return own, len(kept) - len(own)
+        best = [text for text, state in own if state & want]
+        if best:
+            return best, len(found) - len(left)
+    return [text for text, _ in own], len(found) - len(left)
 
 
 def main_text(found: list[tuple[str, int]], shared: set[int]) -> str:
-    """The main text: the article's lines, else those of main, else of the page without what it
-    shares with its neighbour."""
+    """The main text of a page's lines, of which its partner has those numbered ``shared``."""
     return " ".join(_parted(found, shared)[0])
 
 
@@ -178,67 +196,114 @@ def _path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
 
 
-def _nearer(own: Column, before: Column, after: Column) -> Column:
-    """Whether the path before shares a longer beginning with ours than the path after."""
-    common = lambda a, b: F.coalesce(F.length(F.regexp_extract(F.concat(a, F.lit("\u0000"), b), r"^(.*).*\u0000\1", 1)), F.lit(-1))
-    return common(own, before) >= common(own, after)
+def nearness(own: str, other: str) -> int:
+    """Characters that two paths share at their beginning."""
+    n = min(len(own), len(other))
+    if own[:n] == other[:n]:
+        return n
+    low, high = 0, n  # own[:low] is shared, own[:high] is not
+    while high - low > 1:
+        mid = (low + high) // 2
+        if own[low:mid] == other[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
 
-def _paired(rows: DataFrame, *by: str) -> DataFrame:
-    """``rows`` with the lines of the nearest page of the same group (null if it is alone)."""
-    w = Window.partitionBy(*by).orderBy("path", "key")
-    rows = rows.withColumns({"p0": F.lag("path").over(w), "l0": F.lag("hashes").over(w), "p1": F.lead("path").over(w), "l1": F.lead("hashes").over(w)})
-    first = F.col("p1").isNull() | (F.col("p0").isNotNull() & _nearer(F.col("path"), F.col("p0"), F.col("p1")))
-    return rows.withColumn("other", F.when(first, F.col("l0")).otherwise(F.col("l1"))).drop("p0", "l0", "p1", "l1")
+def partners(contents: DataFrame) -> DataFrame:
+    """``contents`` (``host``, ``path``, ``k1``, ``k2``, ``hashes``; different in host, k1 and k2) with
+    ``other``, the ``hashes`` of the nearest path on the same host (of two that are equally near the one
+    before in the order of paths); contents that are alone on their host are left out.
+
+    The nearest path is next to a path in their order, so contents are sorted in ranges of (host, path),
+    a large host over many, and each range is completed by the rows next to its ends.
+    """
+    order = ["host", "path", "k1", "k2"]
+    ranges = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(contents.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    row = F.struct(*order, "hashes")
+    ends = ranged.groupBy("range").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    along = Window.orderBy("range")  # two rows of each range
+    ends = checkpointed(ends.select(F.lead("first").over(along).alias("after"), F.lag("last").over(along).alias("before"), "range"))
+    ends = ends.select("range", F.explode(F.array("before", "after")).alias("row")).where("row is not null").select("row.*", "range", F.lit(False).alias("mine"))
+    every = ranged.select(*order, "hashes", "range", F.lit(True).alias("mine")).unionByName(ends)
+
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = current = None  # rows (range, host, path, hashes, k1, k2, mine)
+
+        def partner(row, before, after):
+            near = [x for x in (before, after) if x is not None and x[:2] == row[:2]]
+            return max(near, key=lambda x: nearness(row[2], x[2]))[3] if near else None  # the first of equals
+
+        for part in chain(parts, [None]):
+            out = []
+            for row in chain(zip(*[part[c] for c in ("range", "host", "path", "hashes", "k1", "k2", "mine")]) if part is not None else [None]):
+                if current is not None and current[6]:
+                    other = partner(current, before, row)
+                    if other is not None:
+                        out.append((current[1], current[4], current[5], current[3], other))
+                before, current = current, row
+            yield pd.DataFrame(out, columns=["host", "k1", "k2", "hashes", "other"])
+
+    dealt = every.repartition(ranges, "range").sortWithinPartitions("range", *order)
+    return dealt.mapInPandas(choose, "host string, k1 long, k2 long, hashes array<long>, other array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars``, ``n_shared`` (lines deleted as shared) per page.
 
-    ``pages`` has ``page_id``, ``url``, ``html``; other columns are ignored.  Only hashes of lines
-    are sorted by URL; the texts themselves are shuffled once, compressed.
+    ``pages`` has ``page_id``, ``url``, ``html``; other columns are ignored.  Each page is parsed once; its
+    lines travel compressed, and only hashes of lines are sorted.  Pages with the same lines on a host are
+    copies: they share their partner, the page nearest to the first of their paths that differs from them.
     """
-    pages = pages.select("page_id", "url", "html").withColumn("key", row_key("page_id", "url", "html"))
+    pages = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
+    types = dict(pages.dtypes)
 
-    def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["hashes"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines(p)] for p in part["html"]]
-            yield part[["key", "host", "path", "hashes"]]
+    def parse(batches):
+        import pyarrow as pa
 
-    slim = pages.select("key", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), "html")
-    slim = slim.mapInPandas(hashed, "key long, host string, path string, hashes array<long>").dropDuplicates(["key"])
-    folder = F.regexp_extract("path", r"^(.*/)[^/]", 1)
-    near = _paired(slim.withColumn("folder", folder), "host", "folder")
-    # Pages alone in their folder are paired with the nearest page of the whole host.
-    near = _paired(near.withColumnRenamed("other", "beside"), "host").withColumn("other", F.coalesce("beside", "other"))
-    near = near.where("other is not null").select("key", "hashes", "other")
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            column = batch.column("html")
+            for s in range(0, len(batch), 64):
+                part, k1, k2, hashes, packed = batch.slice(s, 64), [], [], [], []
+                for page in column.slice(s, 64):
+                    found = lines(page.as_py())
+                    body = "\n".join(f"{state}{text}" for text, state in found).encode("utf-8", "surrogatepass")
+                    whole = xxhash.xxh3_128_intdigest(body)
+                    k1.append((whole >> 64) - (1 << 63))
+                    k2.append((whole & (1 << 64) - 1) - (1 << 63))
+                    hashes.append([xxhash.xxh3_64_intdigest(text) - (1 << 63) for text, _ in found])
+                    packed.append(press.compress(body))
+                columns = [part.column(c) for c in ("page_id", "url", "host", "path")] + [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "path", "k1", "k2", "hashes", "packed"])
+
+    parsed = checkpointed(pages.mapInArrow(parse, f"page_id {types['page_id']}, url {types['url']}, host string, path string, k1 long, k2 long, hashes array<long>, packed binary"))
+    contents = parsed.groupBy("host", "k1", "k2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             part["shared"] = [aligned(list(a), list(b)) for a, b in zip(part["hashes"], part["other"])]
-            yield part.loc[part["shared"].map(len) > 0, ["key", "shared"]]
+            part = part.loc[part["shared"].map(len) > 0, ["host", "k1", "k2", "shared"]]
+            yield part.set_axis(["shared_host", "shared_k1", "shared_k2", "shared"], axis=1)
 
-    shared = near.mapInPandas(compare, "key long, shared array<int>").withColumnRenamed("key", "_key")
+    shared = partners(contents).mapInPandas(compare, "shared_host string, shared_k1 long, shared_k2 long, shared array<int>")
 
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3)
-        for part in parts:
-            part["packed"] = [press.compress("\n".join(f"{s}{t}" for t, s in lines(p)).encode("utf-8", "surrogatepass")) for p in part["html"]]
-            yield part[["key", "page_id", "url", "packed"]]
+    def finish(batches):
+        import pyarrow as pa
 
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
-        for part in parts:
+        for batch in batches:
             texts, gone = [], []
-            for packed, found in zip(part["packed"], part["shared"]):
-                body = unpress.decompress(packed).decode("utf-8", "surrogatepass")
-                own, drop = [(x[1:], int(x[0])) for x in body.split("\n")] if body else [], set() if found is None else set(found)
-                kept, deleted = _parted(own, drop)
+            for packed, found in zip(batch.column("packed"), batch.column("shared")):
+                body = unpress.decompress(packed.as_buffer()).decode("utf-8", "surrogatepass")
+                kept, deleted = _parted([(x[1:], int(x[0])) for x in body.split("\n")] if body else [], set(found.as_py() or ()))
                 texts.append(" ".join(kept).encode("utf-8", "replace").decode())
                 gone.append(deleted)
-            yield part[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts], n_shared=gone)
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    types = dict(pages.dtypes)
-    packed = pages.select("key", "page_id", "url", "html").mapInPandas(pack, f"key long, page_id {types['page_id']}, url {types['url']}, packed binary")
-    out = packed.join(shared, packed.key == shared._key, "left").select("page_id", "url", "packed", "shared")
-    return out.mapInPandas(finish, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long, n_shared long")
+    out = parsed.join(shared, (F.col("host") == F.col("shared_host")) & (F.col("k1") == F.col("shared_k1")) & (F.col("k2") == F.col("shared_k2")), "left")
+    out = out.select("page_id", "url", "packed", "shared")
+    return out.mapInArrow(finish, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long, n_shared long")
