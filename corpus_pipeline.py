@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm import minhash, mixing, pieces, pii, toxicity
-from moraine.llm.common import checkpoint_folder, table
+from moraine.llm.common import checkpoint_folder, fresh, table
 
 MODEL = f"{os.environ.get('MORAINE_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
 
@@ -23,14 +23,15 @@ MODEL = f"{os.environ.get('MORAINE_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the lexicon is learned from the labels of ``docs``."""
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, name="_score").where("_score < 0.5").select(*docs.columns)
+    name = fresh(docs, "toxic")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group (five-word shingles, similarity 0.8 or more).
     Documents without an id, and without words, have no group and stay."""
-    found = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(found, docs.doc_id == F.col("_id"), "left_anti")
+    found = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias(fresh(docs, "copy")))
+    return docs.join(found, docs["doc_id"] == found[found.columns[0]], "left_anti")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,8 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: SQL can express neither the learned lexicon nor the sampled segmentations; tests compare every
-#: stage with a brute-force version.
+#: SQL can express neither the learned lexicon nor the sampled segmentations; tests/llm/test_pipeline.py
+#: compares the stages with plain versions.
 ORACLE_SQL = None
 
 
