@@ -11,6 +11,7 @@ from moraine.functions import encoding
 from moraine.operators import bloom, maintain, merge, read, stats, wal
 from moraine.plans.inputs import events_log, orders_log, runs, tiers
 from moraine.schemas import MEMTABLE_BYTES, PUT, REMOVE
+from moraine.sources.files import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,7 +280,7 @@ def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.sources.logfile import append, entries
 
     log = events_log(spark, sf_dir).select("seq", "key", "value")
-    folder = f"{scratch(spark)}/logfile-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/logfile-{uuid.uuid4().hex}"
     append(log, folder)
     return entries(spark, folder).select("seq", "key", "value", (F.octet_length("key") + F.lit(4)).cast("long").alias("framed_bytes"))
 
@@ -385,16 +386,6 @@ def rpc_get_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # store and stream
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: that of the session's checkpoints."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="moraine-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def _mutations(log: DataFrame) -> DataFrame:
     return log.select("seq", F.when(F.col("is_tombstone"), REMOVE).otherwise(PUT).cast("byte").alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
 
@@ -404,7 +395,7 @@ def open_discover_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the log written and flushed, a third part left in the log; reopened and scanned."""
     from moraine.sources.store import Store
 
-    path, log = f"{scratch(spark)}/store-{uuid.uuid4().hex}", events_log(spark, sf_dir)
+    path, log = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", events_log(spark, sf_dir)
     store = Store.open(spark, path, MEMTABLE_BYTES)
     for part in ("slice < 4", "slice >= 4 and slice < 8"):
         store.write(_mutations(log.where(part)))
@@ -419,7 +410,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as a stream of files, appended by micro-batches, merged by ``seq``."""
     from moraine.streaming.ingest import ingest_files
 
-    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = events_log(spark, sf_dir)
     log.select("seq", "key", "is_tombstone", "value").repartition(4, "seq").write.parquet(f"{base}/in")
     source = spark.readStream.schema("seq long, key string, is_tombstone boolean, value string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")

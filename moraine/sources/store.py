@@ -1,12 +1,13 @@
-"""A durable store: manifest, log batches, sorted runs.
+"""A durable store: manifest, logs, sorted runs.
 
-Every change publishes a new manifest version by rename; the manifest alone says which files exist,
-so half-written files of a failed job are never seen.  Readers are bound to one version.  Files are
-deleted by ``vacuum`` only, so running scans keep theirs.  One writer at a time: a version that
-another writer has published first is an error.
+Every change publishes a new manifest version that no other writer can have; the manifest alone says
+which files exist, so half-written files of a failed job are never seen.  Readers are bound to one
+version.  Files are deleted by ``vacuum`` only, so running scans keep theirs.  One writer at a time: a
+version that another writer has published first is an error.
 
-Single puts go through a memtable of the driver, bounded by ``memtable_bytes``; ``write`` takes a
-DataFrame of mutations of any size.
+A single put is in the log of single writes, flushed, before it returns.  Its memtable is the driver's,
+bounded by ``memtable_bytes`` of held bytes, overwritten values included; ``write`` takes a DataFrame
+of mutations of any size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +24,20 @@ from moraine.operators import read
 from moraine.operators.merge import latest, live, merged
 from moraine.schemas import LEVEL0_TRIGGER, MEMTABLE_BYTES, MUTATION, PUT, REMOVE, SEGMENT_ROW
 from moraine.sources.files import Files
+from moraine.sources.wal import Wal, records
 
-_EMPTY = {"version": 0, "segments": [], "log": [], "next_seq": 0, "next_file": {"0": 0, "1": 0}}
+_EMPTY = {"version": 0, "segments": [], "log": [], "wal": None, "next_seq": 0, "next_file": {"0": 0, "1": 0}}
 
 
 class Conflict(RuntimeError):
     """Another writer has published this version."""
 
 
+def _tombstone() -> Column:
+    """Whether a mutation removes its key; an op of no known kind fails the job."""
+    return F.when(F.col("op").isin(PUT, REMOVE), F.col("op") == REMOVE).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.col("op").cast("string"))).cast("boolean"))
+
+
 class View:
     """An immutable version of a store: what was committed and buffered when it was taken."""
 
@@ -38,12 +45,16 @@ class View:
         self._store, self.manifest, self._buffered = store, manifest, buffered
 
     def _tail(self) -> DataFrame | None:
-        spark, parts = self._store.spark, []
-        if self.manifest["log"]:
-            parts.append(spark.read.schema(MUTATION).parquet(*[self._store.file(b["path"]) for b in self.manifest["log"]]))
+        spark, out = self._store.spark, None
+        shifts: dict[int, list[str]] = {}  # a batch's own numbers follow those of earlier ones
+        for b in self.manifest["log"]:
+            shifts.setdefault(b["shift"], []).append(self._store.file(b["path"]))
+        parts = [spark.read.schema(MUTATION).parquet(*paths).withColumn("seq", F.col("seq") + shift) for shift, paths in shifts.items()]
         if self._buffered:
             parts.append(spark.createDataFrame(self._buffered, MUTATION))
-        return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def runs(self, start: bytes = b"", end: bytes = b"", key: bytes | None = None) -> DataFrame:
         """Ranked versions; runs whose key range cannot match are left out on the driver."""
@@ -62,7 +73,7 @@ class View:
             out = rows.select("key", "value", "is_tombstone", (-F.col("seq")).alias("src"))
         tail = self._tail()
         if tail is not None:
-            own = latest(tail).select("key", "value", (F.col("op") == REMOVE).alias("is_tombstone"), (-F.col("seq")).alias("src"))
+            own = latest(tail).select("key", "value", _tombstone().alias("is_tombstone"), (-F.col("seq")).alias("src"))
             out = own.unionByName(out) if chosen else own
         return out
 
@@ -84,7 +95,12 @@ class Store:
         self.manifest = self._read()
         self._buffer: list[tuple] = []
         self._memory: dict[bytes, bytes | None] = {}
-        self._bytes = 0
+        self._held = 0  # bytes of the buffer, overwritten values included
+        self._bytes = self._tail_bytes()
+        self._wal: Wal | None = None
+        if self.manifest["wal"] and self._files.exists(self.manifest["wal"]):
+            for op, key, value in records(self._files.read_bytes(self.manifest["wal"])):
+                self._remember(op, key, value)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, memtable_bytes: int = MEMTABLE_BYTES) -> Store:
@@ -109,52 +125,78 @@ class Store:
     # writes
 
     def put(self, key: bytes, value: bytes) -> None:
-        self._apply(PUT, key, value)
+        self._apply(PUT, bytes(key), bytes(value))
 
     def remove(self, key: bytes) -> None:
         """Write a tombstone, whether or not the key exists."""
-        self._apply(REMOVE, key, None)
+        self._apply(REMOVE, bytes(key), None)
 
-    def _apply(self, op: int, key: bytes, value: bytes | None) -> None:
-        key = bytes(key)
+    def _remember(self, op: int, key: bytes, value: bytes | None) -> None:
         self._buffer.append((self.manifest["next_seq"] + len(self._buffer), op, bytearray(key), None if value is None else bytearray(value)))
+        self._held += len(key) + len(value or b"")
         self._bytes += (0 if key in self._memory else len(key)) - len(self._memory.get(key) or b"") + len(value or b"")
         self._memory[key] = value
+
+    def _apply(self, op: int, key: bytes, value: bytes | None) -> None:
+        if self._wal is None:
+            name = f"wal-{uuid.uuid4().hex}"
+            wal = Wal(self._files, name)
+            if self._buffer:  # records of an earlier lifetime, whose log may end in a torn one
+                for _, o, k, v in self._buffer:
+                    wal.append(o, bytes(k), None if v is None else bytes(v))
+            self._commit(wal=name)
+            self._wal = wal
+        self._wal.append(op, key, value)
+        self._remember(op, key, value)
         if self._bytes >= self.memtable_bytes:
             self.flush()
             self.maybe_compact()
+        elif self._held >= self.memtable_bytes:  # overwritten values count here
+            self.sync()
+
+    def _end_wal(self) -> None:
+        if self._wal is not None:
+            self._wal.close()
+        self._wal, self._buffer, self._held = None, [], 0
 
     def sync(self) -> None:
-        """Make buffered writes durable: one log batch, published with the next manifest."""
+        """Move the buffered writes from the log of single writes to a batch of rows."""
         if self._buffer:
-            rows, self._buffer = self._buffer, []
-            self._append(self.spark.createDataFrame(rows, MUTATION).coalesce(1), rows[0][0], rows[-1][0] + 1)
-
-    def _append(self, mutations: DataFrame, first: int, stop: int) -> None:
-        path = f"log-{uuid.uuid4().hex}"
-        mutations.write.parquet(self.file(path))
-        self._commit(log=[*self.manifest["log"], {"path": path, "first": first, "stop": stop}], next_seq=stop)
+            rows = self._buffer
+            path = f"log-{uuid.uuid4().hex}"
+            self.spark.createDataFrame(rows, MUTATION).coalesce(1).write.parquet(self.file(path))
+            self._commit(log=[*self.manifest["log"], {"path": path, "shift": 0, "bytes": self._held}], next_seq=rows[-1][0] + 1, wal=None)
+            self._end_wal()
 
     def write(self, mutations: DataFrame, renumber: bool = True) -> None:
         """Append ``seq``, ``op``, ``key``, ``value``.  ``seq`` orders rows within the batch, which
-        follows all earlier writes; without ``renumber`` it is their place among all writes."""
+        follows all earlier writes; without ``renumber`` it is their place among all writes.  Rows
+        without a number or a key, or of an unknown op, make the whole batch an error.
+
+        The batch is evaluated once: its numbers are read from the written file, and shifted by readers.
+        """
         self.sync()
-        base = self.manifest["next_seq"]
-        low, high = mutations.agg(F.min("seq"), F.max("seq")).first()
-        if low is None:
+        path = f"log-{uuid.uuid4().hex}"
+        mutations.select(F.col("seq").cast("long"), F.col("op").cast("byte"), F.col("key").cast("binary"), F.col("value").cast("binary")).write.parquet(self.file(path))
+        bad = F.col("seq").isNull() | F.col("key").isNull() | F.col("op").isNull() | ~F.col("op").isin(PUT, REMOVE)
+        low, high, size, wrong = self.spark.read.schema(MUTATION).parquet(self.file(path)).agg(F.min("seq"), F.max("seq"), F.sum(size_of(F.col("key")) + size_of(F.col("value"))), F.count_if(bad)).first()
+        if low is None or wrong:
+            self._files.delete(path)
+            if wrong:
+                raise ValueError(f"{wrong} rows have no number or key, or an unknown op")
             return
+        base = self.manifest["next_seq"]
         shift = base - low if renumber else 0
-        rows = mutations.select((F.col("seq") + shift).alias("seq"), F.col("op").cast("byte").alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
-        self._append(rows, low + shift, max(base, high + shift + 1))
-        if (self.tail_bytes() or 0) >= self.memtable_bytes:
+        self._commit(log=[*self.manifest["log"], {"path": path, "shift": shift, "bytes": size}], next_seq=max(base, high + shift + 1))
+        self._memory.clear()  # the batch may hold newer versions of its keys
+        self._bytes = self._tail_bytes()
+        if self._bytes >= self.memtable_bytes:
             self.flush()
             self.maybe_compact()
 
-    def tail_bytes(self) -> int:
-        tail = self.view()._tail()
-        if tail is None:
-            return 0
-        return latest(tail).agg(F.sum(size_of(F.col("key")) + size_of(F.col("value")))).first()[0] or 0
+    def _tail_bytes(self) -> int:
+        """Bytes of the tail's batches: what its memtable has at most."""
+        return sum(b["bytes"] for b in self.manifest["log"])
 
     # maintenance
 
@@ -170,14 +212,15 @@ class Store:
         return {"level": level, "file_id": file_id, "path": path, "n_entries": stats[0], "min_key": bytes(stats[1]).hex(), "max_key": bytes(stats[2]).hex(), "n_bytes": stats[3]}, numbers
 
     def flush(self) -> None:
-        """Turn the tail into a run of level 0 and start an empty log."""
-        self.sync()
+        """Turn the tail, buffered writes included, into a run of level 0 and start an empty log."""
         tail = self.view()._tail()
         if tail is None:
             return
-        segment, numbers = self._write_segment(latest(tail).withColumn("is_tombstone", F.col("op") == REMOVE), 0)
-        self._commit(segments=self.manifest["segments"] + ([segment] if segment else []), log=[], next_file=numbers)
-        self._memory, self._bytes = {}, 0
+        segment, numbers = self._write_segment(latest(tail).withColumn("is_tombstone", _tombstone()), 0)
+        self._commit(segments=self.manifest["segments"] + ([segment] if segment else []), log=[], wal=None, next_seq=self.manifest["next_seq"] + len(self._buffer), next_file=numbers)
+        self._end_wal()
+        self._memory.clear()
+        self._bytes = 0
 
     def segments(self, level: int) -> list[dict]:
         return [s for s in self.manifest["segments"] if s["level"] == level]
@@ -188,6 +231,13 @@ class Store:
         self.compact()
         return True
 
+    def maintain(self) -> None:
+        """What a background thread would do: flush a full tail, merge level 0 if it has enough runs.
+        Writes call it by themselves; after opening a store that was left with work, call it once."""
+        if self._bytes >= self.memtable_bytes:
+            self.flush()
+        self.maybe_compact()
+
     def _merge(self, inputs: list[dict], keep_tombstones: bool) -> None:
         view = View(self, self.manifest | {"segments": inputs, "log": []}, [])
         rows = merged(view.runs()) if keep_tombstones else live(merged(view.runs()))
@@ -210,15 +260,17 @@ class Store:
         """Delete what none of the newest ``keep_versions`` versions names.  Views of older versions
         end with this."""
         kept = self._versions()[-keep_versions:]
-        used = {x["path"] for v in kept for m in [self._read(v)] for x in [*m["segments"], *m["log"]]}
-        gone = [n for n in self._files.names() if (n.startswith(("segment-", "log-")) and n not in used) or (n.startswith("manifest-") and int(n[9:-5]) not in kept)]
+        used = {x for v in kept for m in [self._read(v)] for x in [m["wal"], *(f["path"] for f in [*m["segments"], *m["log"]])]}
+        gone = [n for n in self._files.names() if (n.startswith(("segment-", "log-", "wal-")) and n not in used) or (n.startswith("manifest-") and int(n[9:-5]) not in kept)]
         for name in gone:
             self._files.delete(name)
         return gone
 
     def close(self) -> None:
-        """Make buffered writes durable; the log is not flushed."""
-        self.sync()
+        """Close the log of single writes, which the next lifetime replays; nothing is flushed."""
+        if self._wal is not None:
+            self._wal.close()
+            self._wal = None
 
     # reads
 

@@ -78,27 +78,124 @@ def test_scans_are_isolated(spark, tmp_path):
 def test_second_writer_conflicts(spark, tmp_path):
     one, two = Store.open(spark, str(tmp_path)), Store.open(spark, str(tmp_path))
     one.put(b"k", b"1")
-    one.sync()
-    two.put(b"k", b"2")
     with pytest.raises(Conflict):
-        two.sync()
+        two.put(b"k", b"2")
+    assert Store.open(spark, str(tmp_path)).get(b"k") == b"1"
+
+
+def test_racing_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from moraine.sources.files import Files
+
+    for k in range(12):
+        files = [Files(spark, str(tmp_path)) for _ in range(6)]
+        with ThreadPoolExecutor(6) as pool:
+            won = list(pool.map(lambda n: files[n].publish(f"version-{k}", str(n)), range(6)))
+        assert sum(won) == 1 and files[0].read(f"version-{k}") == str(won.index(True))
+    assert files[0].names() == sorted(f"version-{k}" for k in range(12))
+    files[0]._local = False  # the way of other file systems
+    assert files[0].publish("other", "a") and not files[0].publish("other", "b") and files[0].read("other") == "a"
+
+
+def test_single_puts_are_durable(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path))
+    for k in range(30):
+        store.put(b"k%02d" % k, b"v" * k)
+    store.remove(b"k03")  # neither synced nor closed
+    again = Store.open(spark, str(tmp_path))
+    assert again.get(b"k29") == b"v" * 29 and again.get(b"k03") is None and len(pairs(again.scan())) == 29
+    again.put(b"new", b"x")
+    third = Store.open(spark, str(tmp_path))
+    assert third.get(b"new") == b"x" and len(pairs(third.scan())) == 30
+
+
+def test_torn_and_foreign_logs():
+    from moraine.sources.logfile import framed
+    from moraine.sources.wal import record, records
+
+    rows = [(1, b"key1", b"value1"), (1, b"key2", b""), (2, b"key1", None)]
+    data = b"".join(record(*r) for r in rows)
+    assert list(records(data)) == rows and list(records(b"")) == []
+    for cut in range(1, len(record(*rows[2])) + 1):
+        assert list(records(data[: len(data) - cut])) == rows[:2]
+    damaged = bytearray(data)
+    damaged[len(record(*rows[0])) + 6] ^= 1
+    assert list(records(bytes(damaged))) == rows[:1]
+    with pytest.raises(ValueError):
+        list(records(data + b"\x07"))
+    frames = b"".join(len(x).to_bytes(4, "little") + x for x in (b"entry1", b"", b"entry3"))
+    assert list(framed(frames)) == list(framed(frames + b"\x01\x00")) == [b"entry1", b"", b"entry3"]
+    with pytest.raises(EOFError):
+        list(framed(frames[:-1]))
+
+
+def test_log_file(spark, tmp_path):
+    from moraine.sources.logfile import LogFile
+
+    log = LogFile(spark, str(tmp_path), "log")
+    assert log.read() == []
+    for k in (1, 2, 3):
+        log.append(b"entry%d" % k)
+        assert log.read()[-1] == b"entry%d" % k
+    log.close()
+    assert LogFile(spark, str(tmp_path), "log").read() == [b"entry1", b"entry2", b"entry3"]
+
+
+def batch(spark, rows):
+    return spark.createDataFrame([(s, op, bytearray(k), None if v is None else bytearray(v)) for s, op, k, v in rows], "seq long, op int, key binary, value binary")
+
+
+def test_batches_that_are_no_mutations(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path))
+    for op, key in ((7, b"k"), (None, b"k")):
+        with pytest.raises(ValueError):
+            store.write(batch(spark, [(0, 1, b"a", b"1"), (1, op, key, b"2")]))
+    with pytest.raises(ValueError):
+        store.write(spark.createDataFrame([(0, 1, None, None)], "seq long, op int, key binary, value binary"))
+    store.write(batch(spark, []))
+    assert pairs(store.scan()) == [] and store.manifest["version"] == 0
+
+
+def test_overwrites_are_bounded(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path), memtable_bytes=2000)
+    for k in range(500):
+        store.put(b"key", b"%05d" % k)
+        assert store._held < 2000 and len(store._buffer) < 300
+    assert store.get(b"key") == b"00499" and not store.manifest["segments"]  # one key never fills a memtable
+    assert pairs(Store.open(spark, str(tmp_path)).scan()) == [(b"key", b"00499")]
 
 
 def test_random_histories(spark, tmp_path):
     dice = random.Random(5)
-    store, model = Store.open(spark, str(tmp_path)), {}
-    for step in range(60):
+    store, model = Store.open(spark, str(tmp_path), memtable_bytes=400), {}
+    for step in range(90):
         key = b"k%02d" % dice.randrange(12)
         if dice.random() < 0.3:
             store.remove(key)
             model.pop(key, None)
+        elif step % 11 == 10:  # a batch, over keys that were put before
+            rows = [(k, dice.choice([1, 1, 2]), b"k%02d" % dice.randrange(12), b"b%d-%d" % (step, k)) for k in range(6)]
+            store.write(batch(spark, rows))
+            for _, op, k, v in rows:
+                model.pop(k, None)
+                if op == 1:
+                    model[k] = v
         else:
             model[key] = b"v%d" % step
             store.put(key, model[key])
-        if step % 17 == 16:
+        if step % 11 in (4, 10):
+            for k in range(0, 12, 3):
+                assert store.get(b"k%02d" % k) == model.get(b"k%02d" % k)
+        if step % 23 == 16:
             store.flush()
-        if step == 50:
+        if step in (50, 80):
             store.compact()
+        if step == 60:
+            store.major_compact()
+        if step == 70:
+            store = Store.open(spark, str(tmp_path), memtable_bytes=400)
+            store.maintain()
     assert dict(pairs(store.scan())) == model
     for k in range(12):
         assert store.get(b"k%02d" % k) == model.get(b"k%02d" % k)
