@@ -8,8 +8,9 @@ tokens kept meet the budget, or the largest budget below at which no probability
 expected shares are the targets.  Whether a document is kept is a hash of its id, so a rerun keeps the
 same documents.
 
-Cells stay in a distributed table, whatever their number; a round is an aggregation and a join of it for
-each dimension, and rounds end when all marginals are within ``tolerance`` of their targets.
+Rounds end when all marginals are within ``TOLERANCE`` of their targets.  Up to ``DRIVER_CELLS`` cells (a
+few megabytes) are raked in the driver's memory; more stay in a distributed table, and a round is an
+aggregation and a join of it for each dimension: the same steps under the same rule.
 
 Defined cases: nulls in a dimension are a value of their own; null or empty texts count one token;
 rows of equal id and cell are kept or dropped together; an empty table gives an empty result; columns
@@ -18,11 +19,15 @@ named like the results are replaced.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from moraine.llm.common import checkpointed
 
+#: Cells that the driver may hold.
+DRIVER_CELLS = 100_000
 #: A dimension's factors are sent to every executor up to so many values; more are joined by shuffles.
 SENT_VALUES = 100_000
 
@@ -36,32 +41,62 @@ def topic(text: Column) -> Column:
     )
 
 
-def raked(cells: DataFrame, names: list[str], powers: dict[str, float], rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
+ROUNDS, TOLERANCE = 200, 1e-7
+
+
+def raked_here(cells: DataFrame, names: list[str], powers: list[float]) -> DataFrame:
+    """What :func:`raked` gives, from cells that the driver holds."""
+    rows = cells.collect()
+    tokens = np.array([r["cell_tokens"] for r in rows], float)
+    whole, index, goals = tokens.sum(), [], []
+    for name, power in zip(names, powers):
+        place = {v: k for k, v in enumerate(dict.fromkeys(r[name] for r in rows))}
+        index.append(np.array([place[r[name]] for r in rows], np.int64))
+        raised = np.bincount(index[-1], tokens) ** power
+        goals.append(raised / raised.sum() * whole)
+    factors = [np.ones(len(g)) for g in goals]
+    for _ in range(ROUNDS):
+        off = 0.0
+        for d, (at, goal) in enumerate(zip(index, goals)):
+            weight = tokens * np.prod([f[i] for f, i in zip(factors, index)], axis=0)
+            now = np.bincount(at, weight, len(goal))
+            off = max(off, float(np.abs(goal - now).max()) / whole)
+            factors[d] *= goal / now
+        if off <= TOLERANCE:
+            break
+    out = [(*r, *(float(f[i[k]]) for f, i in zip(factors, index))) for k, r in enumerate(rows)]
+    schema = StructType([*cells.schema.fields, *(StructField(f"factor_{n}", DoubleType()) for n in range(len(names)))])
+    return cells.sparkSession.createDataFrame(out, schema)
+
+
+def raked(cells: DataFrame, names: list[str], powers: list[float]) -> DataFrame:
     """``cells`` (``names``, ``cell_tokens``) with the fitted factor of each dimension's value,
     ``factor_<n>`` for the n-th.  Target shares are the actual ones raised to the dimension's power
-    (below 1: small values gain).  Marginals are off by ``tolerance`` of all tokens at most."""
+    (below 1: small values gain).  Marginals are off by ``TOLERANCE`` of all tokens at most."""
     whole = cells.agg(F.sum("cell_tokens")).first()[0]
     factors = [f"factor_{n}" for n in range(len(names))]
     fitted = cells.withColumns({f: F.lit(1.0) for f in factors})
     if not whole:
         return fitted
-    goals = []
-    for name in names:
-        raised = checkpointed(cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(powers[name])).alias("goal")))
-        goals.append(raised.withColumn("goal", F.col("goal") * (whole / raised.agg(F.sum("goal")).first()[0])))
+    goals = [f"goal_{n}" for n in range(len(names))]
+    for name, power, goal in zip(names, powers, goals):
+        raised = checkpointed(cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(power)).alias("raised")))
+        scale = whole / raised.agg(F.sum("raised")).first()[0]
+        fitted = fitted.join(raised.hint("merge"), F.col(name).eqNullSafe(F.col("value"))).withColumn(goal, F.col("raised") * scale).drop("value", "raised")
     weight = F.col("cell_tokens").cast("double")
     for f in factors:
         weight = weight * F.col(f)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         fitted = fitted.withColumn("off", F.lit(0.0))
         for name, f, goal in zip(names, factors, goals):
-            now = fitted.groupBy(F.col(name).alias("v")).agg(F.sum(weight).alias("now"))
-            scale = now.join(goal, F.col("v").eqNullSafe(F.col("value"))).select("v", (F.col("goal") / F.col("now")).alias("scale"), (F.abs(F.col("goal") - F.col("now")) / whole).alias("by"))
-            fitted = fitted.join(scale, F.col(name).eqNullSafe(F.col("v"))).withColumn(f, F.col(f) * F.col("scale")).withColumn("off", F.greatest("off", "by")).drop("v", "scale", "by")
+            # Merged, not broadcast: the rounds' many broadcasts would stay in the driver's memory.
+            now = checkpointed(fitted.groupBy(F.col(name).alias("value")).agg(F.sum(weight).alias("now"))).hint("merge")
+            fitted = fitted.join(now, F.col(name).eqNullSafe(F.col("value"))).withColumn(f, F.col(f) * F.col(goal) / F.col("now"))
+            fitted = fitted.withColumn("off", F.greatest("off", F.abs(F.col(goal) - F.col("now")) / whole)).drop("value", "now")
         fitted = checkpointed(fitted)
-        if fitted.agg(F.max("off")).first()[0] <= tolerance:
+        if fitted.agg(F.max("off")).first()[0] <= TOLERANCE:
             break
-    return fitted.drop("off")
+    return fitted.drop("off", *goals)
 
 
 def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, powers: dict[str, float], keep: float = 0.8, seed: int = 11, key: str = "doc_id") -> DataFrame:
@@ -82,7 +117,8 @@ def mix(documents: DataFrame, dimensions: dict[str, Column], tokens: Column, pow
         *[e.alias(n) for n, e in zip(names, dimensions.values())],
     )
     cells = checkpointed(tagged.groupBy(*names).agg(F.sum("mix_tokens").alias("cell_tokens")))
-    fitted = raked(cells, names, {n: powers.get(d, 1.0) for n, d in zip(names, dimensions)})
+    n = cells.count()
+    fitted = (raked_here if 0 < n <= DRIVER_CELLS else raked)(cells, names, [powers.get(d, 1.0) for d in dimensions])
     rate = F.lit(1.0)
     for n in range(len(names)):
         rate = rate * F.col(f"factor_{n}")
