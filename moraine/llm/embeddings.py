@@ -1,27 +1,33 @@
 """Near-duplicate vectors by randomised-rotation binary codes, and exact top-k inner products.
 
-Near duplicates: equal vectors are collapsed to one representative with a multiplicity.  Vectors
-that agree on a short random-hyperplane key, in at least one of several key tables, are compared:
-each has the signs of its randomly rotated coordinates as a code and, as correction factor, the
-inner product of the vector and its code.  ``<code, q> / factor`` is an unbiased estimate of the
-cosine, off by at most ``k * sqrt(1 - cos^2)`` with high confidence; pairs whose upper bound is below
-the threshold are dropped, pairs whose lower bound is above it are links, all others are recomputed
-in double precision.  Buckets of any size are cut into blocks, and pairs of blocks are separate
-tasks.  The number of keys follows from the number of vectors and the wanted recall at the threshold.
-
-Top-k: candidates and queries are packed into blocks.  Within a block, postings (row, coordinate)
-are segments of equal quantised impact; segments are processed by descending impact in rounds, until
-every row that can still be among the best is known by proof (its upper bound reaches the k-th best
-lower bound); those rows are rescored exactly.
+Near duplicates: equal vectors are collapsed to one representative with a multiplicity.  Each
+representative gets a stored code: the signs of its randomly rotated coordinates, one bit each; the
+correction factor, which is the inner product of the rotated vector and its code; the rotated vector in
+16 levels a coordinate, with the length of what the levels lose; and its keys.  Codes, not vectors, are
+posted under the short random-hyperplane keys of several tables, and codes that meet are compared:
+``<code, q> / factor`` is an unbiased estimate of the cosine, off by at most ``k`` standard deviations
+with high confidence.  Pairs whose upper bound is below the threshold are dropped; only for pairs above
+it are the vectors fetched, and every link is recomputed in double precision.  Buckets of any size are
+cut into blocks, and pairs of blocks are separate tasks.  The number of keys follows from the number of
+vectors and the wanted recall at the threshold.
+
+Top-k: candidates are packed into blocks, each with an impact-ordered index: the postings (row,
+coordinate) grouped into segments of one coordinate, sign and quantised impact, in descending order of
+impact.  For a block of queries, segments are added to the scores one after the other, until every row
+that can still be among the best is known by proof (its upper bound reaches the k-th best lower bound);
+those rows are rescored exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +42,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+@lru_cache(maxsize=8)
 def rotation(d: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((d, d)))
@@ -50,39 +57,63 @@ def plan_keys(n: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
 
-def code(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signs (+1/-1, scaled to unit length) of the rotated unit vectors, and the correction factors."""
-    turned = unit @ turn
-    signs = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
-    return signs, np.einsum("ij,ij->i", signs, turned)
-
-
-def linked_pairs(a, b, same: bool, threshold: float, turn: np.ndarray, reject: float = 4.5, accept: float = 7.0):
-    """Index pairs (i of a, j of b) with cosine at or above the threshold.  ``a`` and ``b`` are
-    (unit vectors, factors); codes are rebuilt from the rotation."""
-    (ua, fa), (ub, _) = a, b
-    d = ua.shape[1]
-    signs = np.where(ua @ turn >= 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(d))
-    out_i, out_j = [], []
-    queries = (ub @ turn).astype(np.float32)
-    spread = np.sqrt(np.maximum(1 - fa**2, 0)) / np.maximum(fa, 1e-6) / math.sqrt(max(d - 1, 1))
-    low = threshold - reject * spread * math.sqrt(1 - threshold**2) - 1e-5
-    far = accept * spread
-    high = np.where(1 / np.sqrt(1 + far**2) <= threshold, np.sqrt(1 + far**2), threshold + far * math.sqrt(1 - threshold**2)) + 1e-5
-    estimate = (signs @ queries.T) / np.maximum(fa, 1e-6)[:, None].astype(np.float32)
-    maybe = estimate >= low[:, None]
+@dataclass
+class Codes:
+    """Codes of vectors of one length: signs (packed bits), correction factors, the rotated vectors'
+    levels (two to a byte) with their step, and the length of what the levels lose."""
+
+    d: int
+    signs: np.ndarray
+    factor: np.ndarray
+    levels: np.ndarray
+    step: np.ndarray
+    lost: np.ndarray
+
+    @classmethod
+    def of(cls, unit: np.ndarray, turn: np.ndarray) -> Codes:
+        d = unit.shape[1]
+        turned = unit @ turn
+        factor = np.abs(turned).sum(axis=1) / math.sqrt(d)  # the code is scaled to unit length
+        step = np.maximum(np.abs(turned).max(axis=1), 1e-12) / 7.5
+        level = np.clip(np.floor(turned / step[:, None]) + 8, 0, 15).astype(np.uint8)
+        lost = np.linalg.norm(turned - (level - 7.5) * step[:, None], axis=1)
+        level = np.pad(level, ((0, 0), (0, d % 2)))
+        return cls(d, np.packbits(turned >= 0, axis=1), factor.astype(np.float32), level[:, ::2] << 4 | level[:, 1::2], step.astype(np.float32), lost.astype(np.float32))
+
+    def blobs(self) -> list[bytes]:
+        numbers = np.stack([self.factor, self.step, self.lost], axis=1)
+        return [n.tobytes() + s.tobytes() + v.tobytes() for n, s, v in zip(numbers, self.signs, self.levels)]
+
+    @classmethod
+    def read(cls, blobs: list[bytes], d: int) -> Codes:
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+        numbers, ends = np.ascontiguousarray(raw[:, :12]).view(np.float32), 12 + (d + 7) // 8
+        return cls(d, raw[:, 12:ends], numbers[:, 0], raw[:, ends:], numbers[:, 1], numbers[:, 2])
+
+    def take(self, rows: np.ndarray) -> Codes:
+        return Codes(self.d, self.signs[rows], self.factor[rows], self.levels[rows], self.step[rows], self.lost[rows])
+
+    def code(self) -> np.ndarray:
+        bits = np.unpackbits(self.signs, axis=1, count=self.d).astype(np.float32)
+        return (2 * bits - 1) / np.float32(math.sqrt(self.d))
+
+    def rotated(self) -> np.ndarray:
+        level = np.stack([self.levels >> 4, self.levels & 15], axis=2).reshape(len(self.levels), -1)[:, : self.d]
+        return (level - np.float32(7.5)) * self.step[:, None]
+
+
+def possible_pairs(a: Codes, b: Codes, same: bool, threshold: float, sure: float = 4.5) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of a, j of b) whose upper bound of the cosine reaches the threshold: all but
+    those that the estimate rules out by ``sure`` standard deviations."""
+    factor = np.maximum(a.factor, 1e-6)
+    estimate = (a.code() @ b.rotated().T) / factor[:, None]
+    # The part of q across the vector has length sqrt(1 - cos^2) and any direction; so has what q's levels lost.
+    own = np.sqrt(np.maximum(1 - a.factor**2, 0)) / factor / math.sqrt(max(a.d - 1, 1)) * math.sqrt(1 - threshold**2)
+    off = np.sqrt(own[:, None] ** 2 + (b.lost[None, :] / factor[:, None]) ** 2 / max(a.d - 1, 1))
+    maybe = estimate + sure * off + 1e-5 >= threshold
     if same:
-        maybe &= np.tri(len(ua), dtype=bool).T & ~np.eye(len(ua), dtype=bool)
-    i, j = np.nonzero(maybe)
-    for s in range(0, len(i), 200_000):
-        p, q = i[s : s + 200_000], j[s : s + 200_000]
-        sure = estimate[p, q] > high[p]
-        exact = np.zeros(len(p))
-        exact[~sure] = np.einsum("ij,ij->i", ua[p[~sure]], ub[q[~sure]])
-        good = sure | (exact >= threshold)
-        out_i.append(p[good])
-        out_j.append(q[good])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+        maybe &= np.arange(len(a.factor))[:, None] < np.arange(len(b.factor))[None, :]
+    return np.nonzero(maybe)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -105,6 +136,12 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of large components would overflow, of small ones vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-3, seed: int = 7, block: int = _BLOCK) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id``, ``embedding``; other columns are ignored):
     ``vec_id``, ``n_links``, ``component_id``, ``kept``.
@@ -120,25 +157,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     n = classes.count()
     bits, tables = plan_keys(n, threshold, miss)
 
-    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    narrow = np.uint8 if bits <= 8 else np.int32
+
+    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for part in parts:
-            sizes = part["embedding"].map(len)
-            for d, own in part.groupby(sizes):
-                x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                _, factor = code(unit, rotation(d, seed))
+            for d, own in part.groupby(part["embedding"].map(len)):
+                unit = _unit(own["embedding"])
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed + 1, d]).standard_normal((d, bits * tables))
-                signs = (unit @ planes[d] >= 0).reshape(len(x), tables, bits)
-                keys = signs @ (1 << np.arange(bits)).astype(np.int32)
-                raw = [v.tobytes() for v in x]
-                every = [k.astype(np.int32).tobytes() for k in keys]
-                for t in range(tables):
-                    yield pd.DataFrame({"t": t, "d": d, "key": keys[:, t], "rep": own["rep"].to_numpy(), "n": own["n"].to_numpy(), "factor": factor, "vector": raw, "keys": every})
-
-    posted = classes.select("rep", "n", "embedding").mapInPandas(keyed, "t int, d int, key int, rep long, n long, factor double, vector binary, keys binary")
-    crowded = posted.groupBy("t", "d", "key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("t").alias("_t"), F.col("d").alias("_d"), F.col("key").alias("_key"), F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+                above = (unit @ planes[d] >= 0).reshape(len(unit), tables, bits)
+                keys = above @ (1 << np.arange(bits)).astype(np.int32)
+                code = [k.tobytes() + c for k, c in zip(keys.astype(narrow), Codes.of(unit, rotation(d, seed)).blobs())]
+                yield pd.DataFrame({"rep": own["rep"].to_numpy(), "d": d, "keys": list(keys), "code": code})
+
+    codes = checkpointed(classes.select("rep", "embedding").mapInPandas(coded, "rep long, d int, keys array<int>, code binary"))
+    crowded = codes.select("d", F.posexplode("keys").alias("t", "key")).groupBy("t", "d", "key").agg(F.count("*").alias("c")).where("c > 1")
+    crowded = crowded.select(F.col("t").alias("_t"), F.col("d").alias("_d"), F.col("key").alias("_key"), F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    posted = codes.select("rep", "d", "code", F.posexplode("keys").alias("t", "key"))
     posted = posted.join(crowded, (F.col("t") == F.col("_t")) & (F.col("d") == F.col("_d")) & (F.col("key") == F.col("_key"))).drop("_t", "_d", "_key")
     posted = posted.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posted = posted.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
@@ -146,25 +182,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         t, d, i, j = (int(group[c].iloc[0]) for c in ("t", "d", "i", "j"))
         group = group.sort_values("rep")
-        x = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(-1, d)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        keys = np.frombuffer(b"".join(group["keys"]), np.int32).reshape(len(x), -1)
-        own, rep, n, factor = (group[c].to_numpy() for c in ("own", "rep", "n", "factor"))
-        turn = rotation(d, seed)
+        wide = tables * np.dtype(narrow).itemsize
+        keys = np.frombuffer(b"".join(c[:wide] for c in group["code"]), narrow).reshape(len(group), tables)
+        code, own, rep = Codes.read([c[wide:] for c in group["code"]], d), group["own"].to_numpy(), group["rep"].to_numpy()
         if i == j:
-            a, b = linked_pairs((unit, factor), (unit, factor), True, threshold, turn)
+            a, b = possible_pairs(code, code, True, threshold)
         else:
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            a, b = linked_pairs((unit[left], factor[left]), (unit[right], factor[right]), False, threshold, turn)
+            a, b = possible_pairs(code.take(left), code.take(right), False, threshold)
             a, b = left[a], right[b]
-        first = ~(keys[a, :t] == keys[b, :t]).any(axis=1) if len(a) else np.zeros(0, bool)
-        a, b = a[first], b[first]  # a pair counts in the first table that brings it together
-        links = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
-        root = rep[_roots(len(x), a, b)]
+        if t and len(a):  # a pair counts in the first table that brings it together
+            first = ~(keys[a, :t] == keys[b, :t]).any(axis=1)
+            a, b = a[first], b[first]
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        pairs = zstandard.compress(place.astype(np.int32).tobytes(), 1)
+        return pd.DataFrame([(t, d, int(group["key"].iloc[0]), i, j, rep[used].tolist(), pairs)] if len(a) else [], columns=["t", "d", "key", "i", "j", "reps", "pairs"])
+
+    place = ["t", "d", "key", "i", "j"]
+    maybe = checkpointed(posted.groupBy(*place).applyInPandas(compare, "t int, d int, key int, i int, j int, reps array<long>, pairs binary"))
+    # The vectors of undecided pairs go to the task that has the pairs.
+    asked = maybe.select(*place, F.posexplode("reps").alias("at", "asked"), F.when(F.col("at") == 0, F.col("pairs")).alias("pairs"))
+    fetched = asked.join(classes.select("rep", "n", "embedding"), F.col("asked") == F.col("rep")).drop("asked")
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        unit, n, rep = _unit(group["embedding"]), group["n"].to_numpy(), group["rep"].to_numpy()
+        a, b = np.frombuffer(zstandard.decompress(group["pairs"].iloc[0]), np.int32).reshape(2, -1)
+        good = np.concatenate([np.einsum("ij,ij->i", unit[a[s : s + 100_000]], unit[b[s : s + 100_000]]) >= threshold for s in range(0, len(a), 100_000)])
+        a, b = a[good], b[good]
+        links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
         some = links > 0
-        return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
+        return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": rep[_roots(len(rep), a, b)][some]})
 
-    found = checkpointed(posted.groupBy("t", "d", "key", "i", "j").applyInPandas(compare, "rep long, links long, root long"))
+    found = checkpointed(fetched.groupBy(*place).applyInPandas(decide, "rep long, links long, root long"))
     links = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     known = classes.select("h1", "h2", "rep", "n")
@@ -175,6 +225,57 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+class Index:
+    """The postings of a block of vectors (of whole numbers): row numbers by segment, the segments in
+    descending order of impact.  A posting's impact is its size in steps of ``width``; those below one
+    step have none."""
+
+    def __init__(self, x: np.ndarray, levels: int = 18):
+        size = np.abs(x)
+        self.width = max(1.0, math.ceil((float(size.max(initial=0)) + 1) / levels))
+        self.level = np.floor(size / self.width).astype(np.int8)
+        row, coordinate = np.nonzero(self.level)
+        impact, minus = self.level[row, coordinate].astype(np.int64), x[row, coordinate] < 0
+        segment = ((levels + 1 - impact) * x.shape[1] + coordinate) * 2 + minus
+        order = np.argsort(segment, kind="stable")
+        self.rows, segment = row[order].astype(np.int32), segment[order]
+        self.heads = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, np.int64)
+        of = segment[self.heads]
+        self.impact, self.coordinate, self.sign = levels + 1 - of // (2 * x.shape[1]), of // 2 % x.shape[1], 1.0 - 2.0 * (of % 2)
+        self.ends = np.r_[self.heads[1:], len(self.rows)]
+
+
+def best_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, index: Index | None = None):
+    """(query index, row index, score) of each query's ``k`` best rows, ties to the smaller id;
+    rows with the query's own id are left out."""
+    index = index or Index(x)
+    score, size = np.zeros((len(x), len(q))), np.abs(q)
+    other = q_ids[:, None] != x_ids[None, :]
+    k, at, top = min(k, len(x)), 0, int(index.impact.max(initial=0))
+    for least in sorted({max(1, top // 2), max(1, top // 6), 1}, reverse=True):
+        while at < len(index.heads) and index.impact[at] >= least:  # segment after segment
+            add = q[:, index.coordinate[at]] * (index.sign[at] * index.impact[at] * index.width)
+            score[index.rows[index.heads[at] : index.ends[at]]] += add
+            at += 1
+        # What is missing of a posting that was added is below a step, of another below ``least`` steps.
+        rest = ((index.width - 1) * size.sum(axis=1))[:, None] + (least - 1) * index.width * (size @ (index.level < least).T)
+        slack = 1e-9 * (float(np.abs(score).max(initial=0)) + float(rest.max(initial=0)))
+        low = np.where(other, score.T - rest, -np.inf)
+        reach = np.partition(low, len(x) - k, axis=1)[:, len(x) - k]
+        possible = (score.T + rest >= reach[:, None] - slack) & other
+        if possible.sum() <= 4 * k * len(q):
+            break
+    i, j = np.nonzero(possible)
+    exact = np.empty(len(i))
+    for s in range(0, len(i), 100_000):
+        exact[s : s + 100_000] = np.einsum("ij,ij->i", q[i[s : s + 100_000]], x[j[s : s + 100_000]])
+    order = np.lexsort((x_ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = rank < k
+    return i[keep], j[keep], exact[keep]
+
+
 def _scaled(part: pd.DataFrame, scale: float) -> np.ndarray:
     return np.floor(scale * np.stack(part["embedding"].to_numpy()).astype(np.float64))
 
@@ -204,52 +305,12 @@ def packed(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
     return vectors.mapInPandas(pack, "d int, ids binary, matrix binary")
 
 
-def best_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, levels: int = 18):
-    """(query index, row index, score) of each query's ``k`` best rows, ties to the smaller id;
-    rows with the query's own id are left out."""
-    size = np.abs(x)
-    width = max(1.0, math.ceil((size.max(initial=0) + 1) / levels))
-    level = np.floor(size / width)
-    top = int(level.max(initial=0))
-    stored = np.sign(x) * level * width  # the quantised impact of each posting
-    total = np.abs(q).sum(axis=1)
-    q32 = q.astype(np.float32)
-    own = q_ids[:, None] == x_ids[None, :]
-    k = min(k, len(x))
-    rounds = sorted({max(1, top // 2), max(1, top // 6), 1}, reverse=True)
-    done, possible = top + 1, None
-    score = np.zeros((len(q), len(x)), np.float32)
-    slack = 1e-3 * (1 + float(np.abs(score).max(initial=0)))
-    for least in rounds:
-        segments = np.where((level >= least) & (level < done), stored, 0).astype(np.float32)
-        score += q32 @ segments.T
-        done = least
-        rest = ((width - 1) * total)[:, None].astype(np.float32)
-        if least > 1:  # postings not yet seen have impacts below least * width
-            rest = rest + np.float32((least - 1) * width) * (np.abs(q32) @ (level < least).astype(np.float32).T)
-        slack = 1e-6 * float(np.abs(score).max(initial=0)) + 1e-3
-        low = np.where(own, -np.inf, score - rest)
-        reach = np.partition(low, len(x) - k, axis=1)[:, len(x) - k]
-        possible = (score + rest >= reach[:, None] - slack) & ~own
-        if possible.sum() <= 4 * k * len(q):
-            break
-    i, j = np.nonzero(possible)
-    exact = np.empty(len(i))
-    for s in range(0, len(i), 100_000):
-        exact[s : s + 100_000] = np.einsum("ij,ij->i", q[i[s : s + 100_000]], x[j[s : s + 100_000]])
-    order = np.lexsort((x_ids[j], -exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = rank < k
-    return i[keep], j[keep], exact[keep]
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, query_rows: int = 512, rows: int = 4096, lanes: int | None = None) -> DataFrame:
     """Each query's ``k`` rows of largest inner product of ``floor(scale * x)``: ``query_id``,
     ``rank``, ``vec_id``, ``score``.
 
     Rows without an id, and unusable vectors (see :func:`usable`), take no part; vectors of different
-    length are not compared; scores are exact while they stay below 2^53.  The queries are a stated
+    length are not compared; scores are exact while they stay below 2^53, and end at the range of a long.  The queries are a stated
     set: their blocks are sent to ``lanes`` groups of candidate blocks, and each group streams through
     pairs of blocks, so a task holds two blocks and their scores only.
     """
@@ -263,12 +324,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     def search(batches):
         import pyarrow as pa
 
+        held, index = None, None  # a block's index serves the query blocks that follow
+        most = float(2**63 - 1024)
         for batch in batches:
-            for d, ids, matrix, q_ids, q_matrix in zip(*[c.to_pylist() for c in batch.columns]):
+            for at in range(len(batch)):
+                d, ids, matrix, q_ids, q_matrix = (c[at].as_py() for c in batch.columns)
                 x, q = np.frombuffer(matrix).reshape(-1, d), np.frombuffer(q_matrix).reshape(-1, d)
+                if index is None or matrix != held:
+                    held, index = matrix, Index(x)
                 x_ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                i, j, score = best_in_block(q, q_ids, x, x_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(x_ids[j]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+                i, j, score = best_in_block(q, q_ids, x, x_ids, k, index)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(x_ids[j]), pa.array(np.clip(score, -most, most).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

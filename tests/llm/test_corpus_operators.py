@@ -312,11 +312,16 @@ def test_mixing_is_raking(spark):
     assert 0 < sum(r["mix_kept"] for r in got) < 500
 
 
-def test_mixing_joins_large_dimensions(documents, monkeypatch):
-    rates = lambda: {(r["doc_id"], r["text"]): round(r["mix_probability"], 9) for r in mixing.corpus_mix(documents).collect()}
-    sent = rates()
+def test_mixing_beyond_the_driver(spark, monkeypatch):
+    dice = random.Random(2)
+    rows = [(k, dice.choice("aaab"), dice.choice(["x", None])) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id int, source string, lang string")
+    rates = lambda: {r["doc_id"]: r["mix_probability"] for r in mixing.mix(frame, {"source": F.col("source"), "lang": F.col("lang")}, F.lit(3), {"source": 0.5, "lang": 0.5}).collect()}
+    here = rates()
     monkeypatch.setattr(mixing, "SENT_VALUES", 0)
-    assert rates() == sent
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    joined = rates()
+    assert len(joined) == 200 and all(abs(joined[k] - here[k]) < 1e-6 for k in here)
 
 
 def test_registered():

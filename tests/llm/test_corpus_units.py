@@ -138,12 +138,43 @@ def test_best_in_block():
         assert j[i == q].tolist() == want and score[i == q].tolist() == [s[k] for k in want]
 
 
-def test_linked_pairs():
+def test_a_huge_component_hides_no_row():
+    x = np.r_[np.full((1, 8), 1e39), np.random.default_rng(2).integers(-30, 30, (40, 8)).astype(float)]
+    i, j, score = embeddings.best_in_block(x[1:6], np.arange(1, 6), x, np.arange(41), 50)
+    assert len(i) == 5 * 40 and np.isfinite(score).all()
+
+
+def test_index_holds_every_posting_by_descending_impact():
+    x = np.random.default_rng(6).integers(-90, 90, (50, 7)).astype(float)
+    index, again = embeddings.Index(x), np.zeros((50, 7))
+    assert (np.diff(index.impact) <= 0).all()
+    for h, e, c, sign, impact in zip(index.heads, index.ends, index.coordinate, index.sign, index.impact):
+        again[index.rows[h:e], c] += sign * impact * index.width
+    assert (np.abs(x - again) < index.width).all() and (x * again >= 0).all() and (np.abs(again) <= np.abs(x)).all()
+
+
+def test_codes():
     dice = np.random.default_rng(5)
-    x = dice.standard_normal((60, 24))
-    x = np.concatenate([x, x[:30] + 0.1 * dice.standard_normal((30, 24))])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    turn = embeddings.rotation(24, 1)
-    _, factor = embeddings.code(u, turn)
-    i, j = embeddings.linked_pairs((u, factor), (u, factor), True, 0.95, turn)
-    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(90) for b in range(a + 1, 90) if u[a] @ u[b] >= 0.95}
+    for d in (24, 7, 65):
+        x = dice.standard_normal((60, d))
+        x = np.concatenate([x, x[:30] + 0.1 * dice.standard_normal((30, d))])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        turn = embeddings.rotation(d, 1)
+        made = embeddings.Codes.of(u, turn)
+        code = embeddings.Codes.read(made.blobs(), d)
+        assert all(np.array_equal(getattr(made, f), getattr(code, f)) for f in ("signs", "factor", "levels", "step", "lost"))
+        assert np.allclose(np.linalg.norm(u @ turn - code.rotated(), axis=1), code.lost, atol=1e-5)
+        assert np.allclose(np.einsum("ij,ij->i", u @ turn, code.code()), code.factor, atol=1e-5)
+        i, j = embeddings.possible_pairs(code, code, True, 0.95)
+        found, want = set(zip(i.tolist(), j.tolist())), {(a, b) for a in range(90) for b in range(a + 1, 90) if u[a] @ u[b] >= 0.95}
+        assert want <= found and (d < 20 or len(found) < 8 * max(len(want), 40))
+
+
+def test_estimates_are_unbiased():
+    dice, off = np.random.default_rng(7), []
+    a, b = dice.standard_normal((2, 32))
+    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    for seed in range(600):
+        code = embeddings.Codes.of(np.stack([a, b]), embeddings.rotation.__wrapped__(32, seed))
+        off.append(float(code.code()[0] @ code.rotated()[1] / code.factor[0] - a @ b))
+    assert abs(np.mean(off)) < 4 * np.std(off) / 600**0.5
