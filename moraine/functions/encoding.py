@@ -35,8 +35,8 @@ def index_entry_size(key: Column) -> Column:
 
 def _little(number: Column) -> Column:
     """A 32-bit little-endian integer as binary."""
-    hexed = F.lpad(F.hex(number.cast("long")), 8, "0")
-    return F.unhex(F.concat(*[F.substring(hexed, p, 2) for p in (7, 5, 3, 1)]))
+    byte = lambda k: F.shiftleft(F.shiftright(number.cast("long"), 8 * k).bitwiseAND(F.lit(255)), 24 - 8 * k)
+    return F.unhex(F.lpad(F.hex(byte(0) + byte(1) + byte(2) + byte(3)), 8, "0"))
 
 
 def record_checksum(is_tombstone: Column, key: Column, value: Column) -> Column:

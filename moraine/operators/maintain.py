@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.encoding import index_entry_size, run_entry_size, size_of
 from moraine.operators.merge import latest, live, merged
+from moraine.operators.running import running
 from moraine.schemas import FALSE_POSITIVE_RATE
 
 
@@ -43,10 +44,9 @@ def bounds(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def offsets(runs: DataFrame, by: str) -> DataFrame:
-    """Where each entry of a run starts in its data block."""
-    size = run_entry_size(F.col("is_tombstone"), F.col("key"), F.col("value"))
-    w = Window.partitionBy(by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("entry_bytes", size).withColumn("entry_offset", F.coalesce(F.sum("entry_bytes").over(w), F.lit(0)).cast("long"))
+    """Where each entry of a run starts in its data block: sums per key range, so a run is not one task's."""
+    sized = runs.withColumn("entry_bytes", run_entry_size(F.col("is_tombstone"), F.col("key"), F.col("value")))
+    return running(sized, F.col("entry_bytes"), "key", (by,), "entry_offset")
 
 
 def file_size(runs: DataFrame, by: str, rate: float = FALSE_POSITIVE_RATE) -> DataFrame:

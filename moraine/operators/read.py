@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.operators.merge import in_range, live, merged
+from moraine.operators.running import running
 
 
 def scan(runs: DataFrame, start=None, end=None, limit: int = 0) -> DataFrame:
@@ -15,15 +16,8 @@ def scan(runs: DataFrame, start=None, end=None, limit: int = 0) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``pos`` from 1 in key order.  Places are counted per key range first, so no task sorts all."""
-    at = Window.partitionBy("_part").orderBy("key")
-    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, "key").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_own", F.row_number().over(at))
-    sizes = ranged.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = ranged.join(F.broadcast(before), F.col("_part") == F.col("_p"))  # a row per partition
-    return joined.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias("pos"))
+    """``pos`` from 1 in key order.  Places are counted per key range, so no task sorts all."""
+    return running(rows, F.lit(1), "key", name="pos").withColumn("pos", F.col("pos") + 1)
 
 
 def get(runs: DataFrame, key) -> DataFrame:

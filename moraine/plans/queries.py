@@ -94,6 +94,30 @@ def scan_merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged(runs(spark, sf_dir)).select("key", "src", "is_tombstone", "value")
 
 
+_KEYED = _ORDERS + """, runs AS (
+  SELECT key, value, false AS is_tombstone, 2 AS src FROM orders_log UNION ALL SELECT key, NULL, true, 1 FROM orders_log WHERE seq % 7 = 0
+  UNION ALL SELECT key, 'again|' || value, false, 0 FROM orders_log WHERE seq % 11 = 0), merged AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY src) = 1)"""
+
+
+def _keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of unique keys, one of deletions of some of them, and one that writes some again."""
+    log = orders_log(spark, sf_dir)
+    gone = log.where("seq % 7 = 0").select("key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_tombstone"))
+    again = log.where("seq % 11 = 0").select("key", F.concat(F.lit("again|"), "value").alias("value"), F.lit(False).alias("is_tombstone"))
+    return merge.union_runs(again, gone, log.select("key", "value", "is_tombstone"))
+
+
+@query(f"WITH {_KEYED} SELECT row_number() OVER (ORDER BY key) AS pos, key, value FROM merged WHERE NOT is_tombstone")
+def scan_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.numbered(read.scan(_keyed_runs(spark, sf_dir))).select("pos", "key", "value")
+
+
+@query(f"WITH {_KEYED} SELECT key, value, is_tombstone FROM merged")
+def compact_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain.compacted(_keyed_runs(spark, sf_dir))
+
+
 # point reads
 
 
@@ -326,6 +350,18 @@ def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filter(spark, sf_dir)[3]
 
 
+@query(f"""WITH {_BITS}, w AS (SELECT bit // 8 AS at, sum(1 << (bit % 8)) AS b FROM filled GROUP BY 1)
+SELECT bits, hashes, (16 + ceil(bits / 8))::BIGINT AS n_bytes, upper(string_agg(printf('%02x', coalesce(b, 0)::INT), '' ORDER BY r.at)) AS body
+FROM m, (SELECT greatest(1, ceil(bits / n * ln(2)))::BIGINT AS hashes FROM m), (SELECT unnest(range((ceil((SELECT bits FROM m) / 8))::BIGINT)) AS at) r LEFT JOIN w ON w.at = r.at GROUP BY ALL""")
+def bloom_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter written as binary and read again: its header, size and bits."""
+    _, bits, hashes, filled = _filter(spark, sf_dir)
+    binary = bloom.packed(filled, bits).select(bloom.serialised(F.col("words"), bits, hashes).alias("data"))
+    again = binary.select("data", bloom.deserialised(F.col("data")).alias("f"))
+    body = F.array_join(F.transform("f.words", bloom._bytes), "")
+    return again.select("f.bits", "f.hashes", F.octet_length("data").cast("long").alias("n_bytes"), F.substring(body, F.lit(1), (2 * F.ceil(F.col("f.bits") / 8)).cast("int")).alias("body"))
+
+
 _PROBED = _BITS + ", answer AS (SELECT key, member, count(*) = count(f.bit) AS maybe FROM probes LEFT JOIN filled f USING (bit) GROUP BY key, member)"
 
 

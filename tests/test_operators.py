@@ -1,6 +1,7 @@
 """Golden cases of single operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from moraine.operators import bloom, maintain, merge, read, wal
 
@@ -44,8 +45,6 @@ def test_memtable_bytes(spark):
 
 
 def test_replay_stops_at_damage(spark):
-    from pyspark.sql import functions as F
-
     log = spark.createDataFrame([(0, "key1", "value1", False), (1, "key2", "value2", False), (2, "key1", None, True)], "seq long, key string, value string, is_tombstone boolean")
     state = lambda f: {r["key"]: r["value"] for r in merge.live(f).collect()}
     assert state(wal.replayed(log)) == {"key2": "value2"}
@@ -57,3 +56,44 @@ def test_replay_stops_at_damage(spark):
 def test_numbered(spark, n):
     rows = spark.range(n).selectExpr("lpad(string(id), 4, '0') AS key")
     assert [(r["pos"], r["key"]) for r in read.numbered(rows).orderBy("pos").collect()] == [(k + 1, f"{k:04d}") for k in range(n)]
+
+
+def test_numbered_many_keys(spark):
+    """More rows than range bounds are sampled from, with a payload that is used."""
+    n = 1_200_000
+    rows = spark.range(n).selectExpr("format_string('key_%012d', id * 7919 % 1200007) AS key", "repeat('v', cast(id % 9 as int)) AS value")
+    got = read.numbered(rows).selectExpr("count(*)", "count(DISTINCT pos)", "min(pos)", "max(pos)", "sum(length(value))").first()
+    assert tuple(got) == (n, n, 1, n, sum(k % 9 for k in range(n)))
+    assert read.numbered(rows).selectExpr("pos", "lead(key) OVER (PARTITION BY pos div 1000 ORDER BY pos) > key AS up").where("not up").count() == 0
+
+
+def test_running_sums_by_group(spark):
+    from moraine.operators.running import running
+
+    rows = spark.range(5000).selectExpr("if(id % 5 = 0, NULL, id % 3) AS g", "id AS o", "id % 7 AS x")
+    got = running(rows, F.col("x"), "o", ("g",)).collect()
+    sums: dict = {}
+    for r in sorted(got, key=lambda r: r["o"]):
+        assert r["before"] == sums.get(r["g"], 0)
+        sums[r["g"]] = r["before"] + r["x"]
+    assert len(got) == 5000 and running(rows.limit(0), F.col("x"), "o").count() == 0
+
+
+def test_bloom_forms(spark, monkeypatch):
+    keys = spark.range(3000).selectExpr("concat('key', id) AS key")
+    asked = spark.range(1500, 6000).selectExpr("concat('key', id) AS key")
+    for n in (1, 3000):
+        bits, hashes = bloom.parameters(n)
+        filled = bloom.bits_of(keys.limit(n), bits, hashes)
+        near = {tuple(r) for r in bloom.might_contain(asked, filled, bits, hashes).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(bloom, "PACKED_BITS", 0)
+            assert near == {tuple(r) for r in bloom.might_contain(asked, filled, bits, hashes).collect()}
+        data = bytes(bloom.packed(filled, bits).select(bloom.serialised(F.col("words"), bits, hashes).alias("d")).first()["d"])
+        assert int.from_bytes(data[:8], "little") == bits and int.from_bytes(data[8:16], "little") == hashes and len(data) == 16 + -(-bits // 8)
+        assert {b for b in range(bits) if data[16 + b // 8] >> b % 8 & 1} == {r["bit"] for r in filled.collect()}
+        again = spark.createDataFrame([(bytearray(data),)], "d binary").select(bloom.deserialised(F.col("d")).alias("f")).first()["f"]
+        assert (again["bits"], again["hashes"]) == (bits, hashes) and again["words"] == bloom.packed(filled, bits).first()["words"]
+    for cut in (data[:15], data[:-1]):
+        with pytest.raises(Exception, match="cut off"):
+            spark.createDataFrame([(bytearray(cut),)], "d binary").select(bloom.deserialised(F.col("d")).alias("f")).collect()
