@@ -11,7 +11,9 @@ smallest hash in it; equal windows have equal anchors.  The runs of windows that
 its contexts.  Anchors of one document only are settled by an exchange of hashes; the contexts of the
 others go to the anchor's bucket, where equal contexts are collapsed to one with its smallest document
 (and an anchor left with one context has nothing to sort), and a suffix array over the contexts' symbols (a symbol is a byte gram of ``length - STEP``) brings
-equal windows together: they agree in the first and the (STEP+1)-th symbol.
+equal windows together: suffixes that share STEP + 1 symbols follow each other in its order, and those that
+follow each other are compared by their bytes.  Hashes only route and order; bytes decide what is equal,
+where contexts are collapsed too.
 
 Texts travel as compressed packs of documents.  The same documents must make the same packs in every
 pass (as they do when read from files); a pack that does not come back is an error.
@@ -197,13 +199,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def _packs(batches, size: int):
     """(key, ids, bytes, offsets) of packs of consecutive documents with an id; the key is a hash of
-    the pack's ids and lengths."""
+    the pack's ids, lengths and bytes."""
     ids, lengths, parts, total = [], [], [], 0
 
     def close():
-        i, n = np.concatenate(ids), np.concatenate(lengths)
-        key = int.from_bytes(hashlib.blake2b(i.tobytes() + n.tobytes(), digest_size=8).digest(), "little", signed=True)
-        return key, i, np.concatenate(parts), np.r_[0, np.cumsum(n)]
+        i, n, data = np.concatenate(ids), np.concatenate(lengths), np.concatenate(parts)
+        digest = hashlib.blake2b(i.tobytes() + n.tobytes(), digest_size=8)
+        digest.update(data)
+        return int.from_bytes(digest.digest(), "little", signed=True), i, data, np.r_[0, np.cumsum(n)]
 
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
@@ -233,12 +236,27 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
 
 
 def _by_bucket(h: np.ndarray, buckets: int):
-    """The distinct anchors in the order of bucket and hash, the bucket cuts, and each row's place."""
+    """The distinct anchors in the order of bucket and hash, the buckets that have any, the cuts between
+    them, and each row's place."""
     bucket = (h >> np.uint64(40)) % np.uint64(buckets)
     short = (bucket << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
     distinct, place = np.unique(short, return_inverse=True)
-    cuts = np.searchsorted(distinct, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40)))
-    return distinct, cuts, place
+    filled, first = np.unique(distinct >> np.uint64(40), return_index=True)
+    return distinct, filled.astype(np.int64), np.r_[first, len(distinct)], place
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 64-bit word that starts at each byte."""
+    return np.lib.stride_tricks.as_strided(np.frombuffer(data.tobytes() + bytes(8), np.uint64, 1), (len(data) + 1,), (1,))
+
+
+def _same_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes (8 or more) at ``a`` and at ``b`` are equal."""
+    same = np.ones(len(a), bool)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        left = np.flatnonzero(same)
+        same[left] = words[a[left] + at] == words[b[left] + at]
+    return same
 
 
 def window_minima(anchor: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
@@ -248,7 +266,7 @@ def window_minima(anchor: np.ndarray, begin: np.ndarray, end: np.ndarray, data:
     grams = length - step
     n_symbols = size - grams + 1
     at = np.repeat(begin, n_symbols) + np.arange(int(n_symbols.sum())) - np.repeat(np.cumsum(n_symbols) - n_symbols, n_symbols)
-    hashed = Hashes(data).grams(grams)[at]
+    hashed, words = Hashes(data).grams(grams)[at], _words(data)
     windows = size - length + 1
     out_at = np.cumsum(windows) - windows
     result = np.empty(int(windows.sum()), np.int64)
@@ -268,9 +286,8 @@ def window_minima(anchor: np.ndarray, begin: np.ndarray, end: np.ndarray, data:
         inner = order - (np.cumsum(count + 1) - count - 1)[which]
         keep = inner < windows[a:b][which]
         order, which, inner = order[keep], which[keep], inner[keep]
-        new = np.ones(len(order), bool)
-        new[1:] = (text[order[1:]] != text[order[:-1]]) | (text[order[1:] + step] != text[order[:-1] + step])
-        head = np.flatnonzero(new)
+        where = begin[a:b][which] + inner
+        head = np.flatnonzero(np.r_[True, ~_same_bytes(words, where[1:], where[:-1], length)])
         low = np.minimum.reduceat(doc[a:b][which], head)
         result[out_at[a:b][which] + inner] = np.repeat(low, np.diff(np.r_[head, len(order)]))
     return result
@@ -298,12 +315,13 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
     def announce(batches):
         for key, ids, data, offsets in _packs(batches, pack):
             (h, _, _, row), _ = contexts(data, offsets, length)
-            distinct, cuts, place = _by_bucket(h, buckets)
+            distinct, filled, cuts, place = _by_bucket(h, buckets)
             low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
             np.minimum.at(low, place, ids[row])
             np.maximum.at(high, place, ids[row])
             several = low < high
-            rows = [(b, key, _squeeze(distinct[p:q], True), _bits(several[p:q])) for b, (p, q) in enumerate(zip(cuts[:-1], cuts[1:])) if q > p or b == 0]
+            # A pack without anchors announces itself all the same: it has to come back.
+            rows = [(b, key, _squeeze(distinct[p:q], True), _bits(several[p:q])) for b, p, q in zip(filled.tolist() or [0], cuts[:-1] if len(filled) else [0], cuts[1:] if len(filled) else [0])]
             yield pa_batch(rows, ["bucket", "pack", "anchors", "several"], ["int32", "int64", "binary", "binary"])
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
@@ -337,11 +355,12 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
                     raise RuntimeError("the packs of documents differ between passes; write the documents to a table first")
                 ids, offsets, data = unpacked(row)
                 (h, start, end, of), hashes = contexts(data, offsets, length)
-                distinct, cuts, place = _by_bucket(h, buckets)
-                flag = np.zeros(len(distinct), bool)
+                distinct, filled, cuts, place = _by_bucket(h, buckets)
+                flag, number = np.zeros(len(distinct), bool), {b: k for k, b in enumerate(filled.tolist())}
                 for a in row["answers"]:
-                    p, q = cuts[a["bucket"]], cuts[a["bucket"] + 1]
-                    flag[p:q] = _flags(a["bits"], q - p)
+                    if a["bucket"] in number:
+                        p, q = cuts[number[a["bucket"]]], cuts[number[a["bucket"]] + 1]
+                        flag[p:q] = _flags(a["bits"], q - p)
                 own = np.flatnonzero(flag[place])
                 if not len(own):
                     continue
@@ -349,8 +368,7 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
                 span = hashes.spans(start[own], end[own])
                 bound = np.searchsorted(place[own], cuts)
                 rows = []
-                for b in range(buckets):
-                    p, q = bound[b], bound[b + 1]
+                for b, p, q in zip(filled.tolist(), bound[:-1], bound[1:]):
                     if p == q:
                         continue
                     o = own[p:q]
@@ -376,6 +394,15 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
         order = np.lexsort((span, anchor))
         new = np.ones(len(order), bool)
         new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (span[order[1:]] != span[order[:-1]])
+        # (those that one pack sent once are the same bytes; others of one hash are compared)
+        met = np.flatnonzero(~new)
+        x, y = local[order[met]], local[order[met - 1]]
+        met, x, y = met[x != y], x[x != y], y[x != y]
+        differ, words = size_of[x] != size_of[y], _words(data)
+        for n in np.unique(size_of[x[~differ]]):
+            some = np.flatnonzero(~differ & (size_of[x] == n))
+            differ[some] = ~_same_bytes(words, begin_of[x[some]], begin_of[y[some]], int(n))
+        new[met[differ]] = True
         head = np.flatnonzero(new)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
@@ -395,7 +422,7 @@ def repeated(documents: DataFrame, length: int = 50, buckets: int | None = None,
             end = np.cumsum(size)
             at = np.repeat(begin_of[chosen[sort]] - (end - size), size) + np.arange(int(end[-1]))
             minima[np.repeat(~alone, windows)] = window_minima(met[sort], end - size, end, data[at], low[sort], length)
-        del data
+        del data, words
         out, packs, at = [], group["pack"].to_numpy(), 0
         for k, own_rows in enumerate(rows):
             n = len(own_rows)
