@@ -132,7 +132,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 4096) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 256) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``documents``
     (``doc_id``, ``text``).  ``matches`` is to be set so that a pair at ``percent`` reaches it almost
     surely: with 48 and 27, a pair at 80 per cent falls short about once in 10,000."""

@@ -17,6 +17,33 @@ def test_suffix_arrays():
         assert suffix.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_bytes_are_compared():
+    dice = np.random.default_rng(3)
+    data = dice.integers(0, 3, 4000).astype(np.uint8)
+    a, b = dice.integers(0, 3900, (2, 900))
+    b[:300] = a[:300]
+    for length in (8, 13, 50):
+        want = [data[x : x + length].tobytes() == data[y : y + length].tobytes() for x, y in zip(a, b)]
+        assert suffix._same_bytes(suffix._words(data), a, b, length).tolist() == want
+    end = len(data) - 50
+    assert suffix._same_bytes(suffix._words(data), np.array([end]), np.array([end]), 50).all()
+
+
+def test_window_minima():
+    dice = random.Random(4)
+    core = "".join(dice.choice("abc") for _ in range(20))
+    parts = ["".join(dice.choice("ab") for _ in range(30)) + core + "".join(dice.choice("ab") for _ in range(30)) for _ in range(40)]
+    parts += parts[:10] + [p[:60] + "c" * 20 for p in parts[:10]]
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    begin, doc = np.arange(len(parts)) * 80, np.array(dice.sample(range(1000), len(parts)))
+    got = suffix.window_minima(np.zeros(len(parts), np.uint64), begin, begin + 80, data, doc, 50)
+    least: dict = {}
+    for p, d in zip(parts, doc):
+        for k in range(31):
+            least[p[k : k + 50]] = min(d, least.get(p[k : k + 50], d))
+    assert got.tolist() == [least[p[k : k + 50]] for p in parts for k in range(31)]
+
+
 @pytest.mark.parametrize("values", [[], [5], [1, 1, 9, 1 << 60]])
 def test_squeezed_integers(values):
     x = np.array(values, np.uint64)
