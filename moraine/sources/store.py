@@ -44,14 +44,16 @@ class View:
     def __init__(self, store: Store, manifest: dict, buffered: list[tuple]):
         self._store, self.manifest, self._buffered = store, manifest, buffered
 
-    def _tail(self) -> DataFrame | None:
+    def _tail(self, start: bytes = b"", end: bytes = b"", key: bytes | None = None) -> DataFrame | None:
+        """The log's rows; of the buffered ones only those that the range or key asks for."""
         spark, out = self._store.spark, None
         shifts: dict[int, list[str]] = {}  # a batch's own numbers follow those of earlier ones
         for b in self.manifest["log"]:
             shifts.setdefault(b["shift"], []).append(self._store.file(b["path"]))
         parts = [spark.read.schema(MUTATION).parquet(*paths).withColumn("seq", F.col("seq") + shift) for shift, paths in shifts.items()]
-        if self._buffered:
-            parts.append(spark.createDataFrame(self._buffered, MUTATION))
+        own = [r for r in self._buffered if (bytes(r[2]) == key if key is not None else bytes(r[2]) >= start and (not end or bytes(r[2]) < end))]
+        if own:
+            parts.append(spark.createDataFrame(own, MUTATION))
         for part in parts:
             out = part if out is None else out.unionByName(part)
         return out
@@ -71,7 +73,7 @@ class View:
         if chosen:
             rows = spark.read.schema(SEGMENT_ROW).parquet(*[self._store.file(s["path"]) for s in chosen])
             out = rows.select("key", "value", "is_tombstone", (-F.col("seq")).alias("src"))
-        tail = self._tail()
+        tail = self._tail(start, end, key)
         if tail is not None:
             own = latest(tail).select("key", "value", _tombstone().alias("is_tombstone"), (-F.col("seq")).alias("src"))
             out = own.unionByName(out) if chosen else own
@@ -81,6 +83,8 @@ class View:
         return read.scan(self.runs(start, end), start, end, limit)
 
     def get(self, key: bytes) -> bytes | None:
+        if not self._buffered and not self.manifest["log"] and not any(bytes.fromhex(s["min_key"]) <= key <= bytes.fromhex(s["max_key"]) for s in self.manifest["segments"]):
+            return None  # outside of every run: no job
         rows = read.get(self.runs(key=key), key).take(1)
         return bytes(rows[0]["value"] or b"") if rows else None
 
