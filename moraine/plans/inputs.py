@@ -10,12 +10,12 @@ from moraine.operators.merge import newest
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a mutation log: users are keys, errors are deletes; ``slice`` is the tenth of the
-    log.  The number of events is a Parquet footer count."""
+    log.  The number of events is a scalar subquery of the plan (a count from Parquet footers)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = events.count()
+    n = F.greatest(events.agg(F.count("*")).scalar(), F.lit(1))
     return events.select(
         F.col("event_id").alias("seq"), F.format_string("user_%012d", "user_id").alias("key"), (F.col("event_type") == "error").alias("is_tombstone"),
-        F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("|"), "props")).alias("value"), F.expr(f"event_id * 10 div {max(n, 1)}").alias("slice"),
+        F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("|"), "props")).alias("value"), F.call_function("div", F.col("event_id") * 10, n).alias("slice"),
     )
 
 
