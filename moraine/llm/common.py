@@ -3,32 +3,20 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.sources.files import checkpointed, shared_folder as checkpoint_folder
+
+__all__ = ["checkpoint_folder", "checkpointed", "components", "fresh", "released", "table", "text_key"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read through Spark only (any Hadoop path works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder.  ``spark.checkpoint.dir`` names it; only where that is unset
-    (tests, notebooks) a temporary folder of this machine is taken."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="moraine-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
