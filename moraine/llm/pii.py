@@ -8,7 +8,9 @@ a term of its documents gives away: with document frequencies over the whole cor
                                       IC  = ln(N / n(entity))
 
 is 1 if the term is seen with the entity only, and 0 if the two are independent.  Terms at or above
-``generalise`` become a class label, those at or above ``remove`` go.
+``remove`` go.  Those at or above ``generalise`` become their longest beginning that is common enough to
+reveal none of their entities that much ("marvinbot" becomes "marv*" where another word on "marv" is in
+many documents), or a class label if there is none.
 
 An entity is a value, and also the group it belongs to (an email's domain, the first two numbers of
 an address, the first six digits of a card, the first four of a phone number), so that values of one
@@ -40,7 +42,8 @@ KINDS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+")),
 )
-ORDER = {kind: i for i, (kind, _, _) in enumerate(KINDS)} | {"term": len(KINDS)}
+TERM_KIND = "term"
+ORDER = {kind: i for i, (kind, _, _) in enumerate(KINDS)} | {TERM_KIND: len(KINDS)}
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -151,6 +154,22 @@ def _occurrences(text: Column, found: Column) -> Column:
     return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
 
 
+def _generalised(revealing: DataFrame, words: DataFrame, total: Column, generalise: float, remove: float) -> DataFrame:
+    """``term``, ``value`` (``remove``, a beginning with ``*``, or a label) of terms with the largest
+    ``share`` of an entity that they reveal and the smallest ``ic``.
+
+    A beginning is in as many documents as its most frequent word at least, and meets an entity in all of
+    that one's documents at most, so PMI(beginning, entity) <= ln(N / n(word)).
+    """
+    starts = lambda c: F.transform(F.sequence(F.lit(3), F.length(c) - 1), lambda n: F.substring(c, F.lit(1), n))  # noqa: E731  (terms have four letters)
+    asked = revealing.where(F.col("share") < remove).select(F.col("term").alias("_term"), "ic", F.explode(starts(F.col("term"))).alias("start"))
+    wanted = asked.select("start").distinct()
+    common = words.select("n_term", F.explode(starts(F.col("term"))).alias("start")).join(wanted, "start", "left_semi").groupBy("start").agg(F.max("n_term").alias("n"))
+    safe = asked.join(common, "start").where(F.log(total / F.col("n")) < generalise * F.col("ic")).groupBy("_term").agg(F.max_by("start", F.length("start")).alias("start"))
+    value = F.when(F.col("share") >= remove, "remove").otherwise(F.coalesce(F.concat("start", F.lit("*")), F.lit(f"[{TERM_KIND}]")))
+    return revealing.join(safe, F.col("term") == F.col("_term"), "left").select("term", value.alias("value"))
+
+
 #: Up to so many revealing terms are sent to every executor; more are joined by shuffles.
 SENT_TERMS = 100_000
 
@@ -159,7 +178,7 @@ def detect(documents: DataFrame, generalise: float = 0.6, remove: float = 0.9, l
     """``documents`` with ``pii_base`` and ``pii_terms`` (spans as structs start, rank, end, value).
 
     ``level`` bounds the probability that any term of an entity is judged to reveal it by chance; the
-    value of a term span is ``remove`` or ``generalise``.  Needs a column ``text``; columns named
+    value of a term span is ``remove`` or what it is generalised to.  Needs a column ``text``; columns named
     ``pii_base`` or ``pii_terms`` are replaced.
     """
     documents = documents.drop("pii_base", "pii_terms")
@@ -188,8 +207,9 @@ def detect(documents: DataFrame, generalise: float = 0.6, remove: float = 0.9, l
         .withColumn("pmi", F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
         .where(_log_chance(F.col("n_both"), F.col("n_term"), F.col("n_entity"), F.col("n")) <= limit)
-        .groupBy("term").agg(F.when(F.max(F.col("pmi") / F.col("ic")) >= remove, "remove").otherwise("generalise").alias("value"))
+        .groupBy("term").agg(F.max(F.col("pmi") / F.col("ic")).alias("share"), F.min("ic").alias("ic"))
     )
+    revealing = checkpointed(_generalised(revealing, words, total, generalise, remove))
     sought = F.broadcast(revealing) if revealing.count() <= SENT_TERMS else revealing
     terms = (
         keyed.select(F.col("_key").alias("_found"), F.explode(_words(own)).alias("term")).join(sought, "term")
@@ -207,15 +227,15 @@ def describe(spans: Column) -> Column:
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:
-    """The text with pattern spans replaced by their kind in brackets, and term spans by ``[term]`` or
-    nothing.  Of overlapping spans the one that starts first is replaced, up to the end of all."""
+    """The text with pattern spans replaced by their kind in brackets, and term spans by what they are
+    generalised to, or nothing.  Of overlapping spans the one that starts first is replaced, up to the end of all."""
     labels = F.array(*[F.lit(f"[{k}]") for k in ORDER])
     text = F.coalesce(text, F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        label = F.when(s["value"] == "remove", F.lit("")).otherwise(F.element_at(labels, s["rank"] + 1))
+        label = F.when(s["rank"] < ORDER[TERM_KIND], F.element_at(labels, s["rank"] + 1)).when(s["value"] == "remove", F.lit("")).otherwise(s["value"])
         put = F.when(s["start"] >= acc["at"], F.array(gap, label)).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], put).alias("out"))
 

@@ -117,6 +117,49 @@ def test_terms_anywhere(spark):
     assert spans[4] == "term:4:18" and spans[5] == ""  # and without one
 
 
+def test_terms_are_generalised(spark):
+    texts = ["the Marvinbot is at m@heart.org"] * 4 + ["marvinbot there"] * 8 + ["zyxinbot is at z@ship.org"] * 4 + ["zyxinbot there"] * 8 + [f"so marvelous {k}" for k in range(60)] + [f"today is {k}" for k in range(300)]
+    found = pii.detect(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"))
+    clean = {r["doc_id"]: r["c"] for r in found.select("doc_id", pii.sanitised(F.col("text"), F.col("pii_base"), F.col("pii_terms")).alias("c")).collect()}
+    assert clean[0] == "the marv* is at [email]" and clean[4] == "marv* there"  # a beginning that many documents have
+    assert clean[12] == "[term] is at [email]" and clean[24] == "so marvelous 0" and clean[84] == "today is 0"
+
+
+def test_terms_by_brute_force(spark):
+    """Spans of terms from document frequencies in plain loops."""
+    dice = random.Random(13)
+    words = ["".join(dice.choice("abcdeilmnorst") for _ in range(dice.randrange(4, 8))) for _ in range(60)]
+    texts = []
+    for k in range(260):
+        own = [words[min(int(dice.expovariate(0.06)), 59)] for _ in range(6)]
+        if k % 13 == 0:
+            own += [f"a{k % 3}@site{k % 2}.org", words[50 + k % 3]]
+        texts.append(" ".join(own))
+    level, generalise = 0.05, 0.6
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), generalise=generalise, level=level)).collect()}
+    held = [({w for w in re.findall(r"[a-z]{4,}", re.sub(r"\S+@\S+", " ", t))}, {m for a, b in re.findall(r"(\S+)@(\S+)", t) for m in (f"{a}@{b}", b)}) for t in texts]
+    n_term, n_entity, n_both = ({} for _ in range(3))
+    for own, entities in held:
+        for w in own:
+            n_term[w] = n_term.get(w, 0) + 1
+            for e in entities:
+                n_both[w, e] = n_both.get((w, e), 0) + 1
+        for e in entities:
+            n_entity[e] = n_entity.get(e, 0) + 1
+    n, found = len(texts), set()
+    for (w, e), both in n_both.items():
+        mean, ic = n_term[w] * n_entity[e] / n, math.log(n / n_entity[e])
+        pmi = math.log(n * both / (n_term[w] * n_entity[e]))
+        chance = both * math.log(mean / both) + both - mean - 0.5 * math.log(2 * math.pi * both) - math.log(1 - mean / (both + 1)) if mean < both else 0
+        if pmi >= generalise * ic and chance <= math.log(level / len(n_term)):
+            found.add(w)
+    assert found
+    for i, t in enumerate(texts):
+        mail = [m.span() for m in re.finditer(r"\S+@\S+", t)]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z]{4,}", t) if m[0] in found and not any(a <= m.start() < b for a, b in mail)]
+        assert [s for s in got[i].split(",") if s.startswith("term")] == want
+
+
 def test_toxicity(spark):
     dice = random.Random(3)
     words = [f"w{k}rd{k}" for k in range(60)]
