@@ -253,34 +253,39 @@ def partners(contents: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars``, ``n_shared`` (lines deleted as shared) per page.
 
-    ``pages`` has ``page_id``, ``url``, ``html``; other columns are ignored.  Each page is parsed once; its
-    lines travel compressed, and only hashes of lines are sorted.  Pages with the same lines on a host are
+    ``pages`` has ``page_id``, ``url``, ``html``; other columns are ignored.  Only hashes of lines are
+    sorted; the lines travel once, compressed (pages are parsed twice, as keeping the lines in between takes
+    more disk than parsing takes time).  Pages with the same lines on a host are
     copies: they share their partner, the page nearest to the first of their paths that differs from them.
     """
     pages = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
     types = dict(pages.dtypes)
 
-    def parse(batches):
-        import pyarrow as pa
-
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            column = batch.column("html")
-            for s in range(0, len(batch), 64):
-                part, k1, k2, hashes, packed = batch.slice(s, 64), [], [], [], []
-                for page in column.slice(s, 64):
-                    found = lines(page.as_py())
-                    body = "\n".join(f"{state}{text}" for text, state in found).encode("utf-8", "surrogatepass")
-                    whole = xxhash.xxh3_128_intdigest(body)
-                    k1.append((whole >> 64) - (1 << 63))
-                    k2.append((whole & (1 << 64) - 1) - (1 << 63))
-                    hashes.append([xxhash.xxh3_64_intdigest(text) - (1 << 63) for text, _ in found])
-                    packed.append(press.compress(body))
-                columns = [part.column(c) for c in ("page_id", "url", "host", "path")] + [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "path", "k1", "k2", "hashes", "packed"])
-
-    parsed = checkpointed(pages.mapInArrow(parse, f"page_id {types['page_id']}, url {types['url']}, host string, path string, k1 long, k2 long, hashes array<long>, packed binary"))
-    contents = parsed.groupBy("host", "k1", "k2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
+    def parsed(kept: tuple[str, ...]):
+        def parse(batches):
+            import pyarrow as pa
+
+            press = zstandard.ZstdCompressor(level=3)
+            for batch in batches:
+                for s in range(0, len(batch), 64):
+                    part, k1, k2, hashes, packed = batch.slice(s, 64), [], [], [], []
+                    for page in part.column("html"):
+                        found = lines(page.as_py())
+                        body = "\n".join(f"{state}{text}" for text, state in found).encode("utf-8", "surrogatepass")
+                        whole = xxhash.xxh3_128_intdigest(body)
+                        k1.append((whole >> 64) - (1 << 63))
+                        k2.append((whole & (1 << 64) - 1) - (1 << 63))
+                        if "hashes" in kept:
+                            hashes.append([xxhash.xxh3_64_intdigest(text) - (1 << 63) for text, _ in found])
+                        else:
+                            packed.append(press.compress(body))
+                    last = pa.array(hashes, pa.list_(pa.int64())) if "hashes" in kept else pa.array(packed, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept[:-1]), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), last], names=[*kept[:-1], "k1", "k2", kept[-1]])
+
+        of = types | {"hashes": "array<long>", "packed": "binary"}
+        return pages.mapInArrow(parse, ", ".join([*(f"{c} {of[c]}" for c in kept[:-1]), "k1 long", "k2 long", f"{kept[-1]} {of[kept[-1]]}"]))
+
+    contents = parsed(("host", "path", "hashes")).groupBy("host", "k1", "k2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -304,6 +309,7 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    out = parsed.join(shared, (F.col("host") == F.col("shared_host")) & (F.col("k1") == F.col("shared_k1")) & (F.col("k2") == F.col("shared_k2")), "left")
+    texts = parsed(("page_id", "url", "host", "packed"))
+    out = texts.join(shared, (F.col("host") == F.col("shared_host")) & (F.col("k1") == F.col("shared_k1")) & (F.col("k2") == F.col("shared_k2")), "left")
     out = out.select("page_id", "url", "packed", "shared")
     return out.mapInArrow(finish, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long, n_shared long")
