@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm import minhash, mixing, pieces, pii, toxicity
@@ -20,11 +20,18 @@ from moraine.llm.common import checkpoint_folder, fresh, table
 MODEL = f"{os.environ.get('MORAINE_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the ``used`` ones under names that no operator gives, and the
+    columns that bring the documents back."""
+    names = [c if c in used else f"column {k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(f"`{other}`").alias(c) for other, c in zip(names, docs.columns)]
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the lexicon is learned from the labels of ``docs``."""
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    name = fresh(docs, "toxic")
-    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
+    held, back = apart(docs, "text")
+    return toxicity.score(held, model).where("score < 0.5").select(*back)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +43,17 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it replaced by labels; ``n_chars`` follows."""
-    found = pii.detect(docs)
+    held, back = apart(docs, "text")
+    found = pii.detect(held)
     text = F.when(F.col("text").isNotNull(), pii.sanitised(F.col("text"), F.col("pii_base"), F.col("pii_terms")))
-    found = found.withColumn("text", text)
+    found = found.withColumn("text", text).select(*back)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target shares of tokens."""
-    return mixing.corpus_mix(docs).where("mix_kept").select(*docs.columns)
+    held, back = apart(docs, "doc_id", "text", "lang", "source")
+    return mixing.corpus_mix(held).where("mix_kept").select(*back)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
