@@ -13,7 +13,7 @@ vectors and the wanted recall at the threshold.
 
 Top-k: candidates are packed into blocks, each with an impact-ordered index: the postings (row,
 coordinate) grouped into segments of one coordinate, sign and quantised impact, in descending order of
-impact.  For a block of queries, segments are added to the scores one after the other, until every row
+impact.  For a block of queries, segments are added to the scores in that order, many at a time, until every row
 that can still be among the best is known by proof (its upper bound reaches the k-th best lower bound);
 those rows are rescored exactly.
 """
@@ -230,7 +230,7 @@ class Index:
     descending order of impact.  A posting's impact is its size in steps of ``width``; those below one
     step have none."""
 
-    def __init__(self, x: np.ndarray, levels: int = 18):
+    def __init__(self, x: np.ndarray, levels: int = 127):
         size = np.abs(x)
         self.width = max(1.0, math.ceil((float(size.max(initial=0)) + 1) / levels))
         self.level = np.floor(size / self.width).astype(np.int8)
@@ -242,27 +242,35 @@ class Index:
         self.heads = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, np.int64)
         of = segment[self.heads]
         self.impact, self.coordinate, self.sign = levels + 1 - of // (2 * x.shape[1]), of // 2 % x.shape[1], 1.0 - 2.0 * (of % 2)
-        self.ends = np.r_[self.heads[1:], len(self.rows)]
+        self.cuts = np.r_[self.heads, len(self.rows)]
+
+    def postings(self, first: int, last: int, shape: tuple[int, int]) -> np.ndarray:
+        """The signed impacts of the segments from ``first`` to before ``last``, laid out as a matrix: one
+        product adds all these segments to the scores of many queries."""
+        out = np.zeros(shape)
+        many = np.diff(self.cuts[first : last + 1])
+        value = self.sign[first:last] * self.impact[first:last] * self.width
+        out[self.rows[self.cuts[first] : self.cuts[last]], np.repeat(self.coordinate[first:last], many)] = np.repeat(value, many)
+        return out
 
 
 def best_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, index: Index | None = None):
     """(query index, row index, score) of each query's ``k`` best rows, ties to the smaller id;
     rows with the query's own id are left out."""
     index = index or Index(x)
-    score, size = np.zeros((len(x), len(q))), np.abs(q)
+    score, size = np.zeros((len(q), len(x))), np.abs(q)
     other = q_ids[:, None] != x_ids[None, :]
     k, at, top = min(k, len(x)), 0, int(index.impact.max(initial=0))
     for least in sorted({max(1, top // 2), max(1, top // 6), 1}, reverse=True):
-        while at < len(index.heads) and index.impact[at] >= least:  # segment after segment
-            add = q[:, index.coordinate[at]] * (index.sign[at] * index.impact[at] * index.width)
-            score[index.rows[index.heads[at] : index.ends[at]]] += add
-            at += 1
+        to = int(np.searchsorted(-index.impact, -least, "right"))  # the next segments in the order of impact
+        score += q @ index.postings(at, to, x.shape).T
+        at = to
         # What is missing of a posting that was added is below a step, of another below ``least`` steps.
         rest = ((index.width - 1) * size.sum(axis=1))[:, None] + (least - 1) * index.width * (size @ (index.level < least).T)
         slack = 1e-9 * (float(np.abs(score).max(initial=0)) + float(rest.max(initial=0)))
-        low = np.where(other, score.T - rest, -np.inf)
+        low = np.where(other, score - rest, -np.inf)
         reach = np.partition(low, len(x) - k, axis=1)[:, len(x) - k]
-        possible = (score.T + rest >= reach[:, None] - slack) & other
+        possible = (score + rest >= reach[:, None] - slack) & other
         if possible.sum() <= 4 * k * len(q):
             break
     i, j = np.nonzero(possible)

@@ -159,6 +159,8 @@ def test_best_in_block():
     x[50:60] = x[40]  # ties
     ids = dice.permutation(300)
     i, j, score = embeddings.best_in_block(x[:20], ids[:20], x, ids, 7)
+    coarse = embeddings.best_in_block(x[:20], ids[:20], x, ids, 7, embeddings.Index(x, levels=4))
+    assert all((a == b).all() for a, b in zip(coarse, (i, j, score)))
     for q in range(20):
         s = x @ x[q]
         want = sorted((k for k in range(300) if k != q), key=lambda k: (-s[k], ids[k]))[:7]
@@ -173,10 +175,10 @@ def test_a_huge_component_hides_no_row():
 
 def test_index_holds_every_posting_by_descending_impact():
     x = np.random.default_rng(6).integers(-90, 90, (50, 7)).astype(float)
-    index, again = embeddings.Index(x), np.zeros((50, 7))
-    assert (np.diff(index.impact) <= 0).all()
-    for h, e, c, sign, impact in zip(index.heads, index.ends, index.coordinate, index.sign, index.impact):
-        again[index.rows[h:e], c] += sign * impact * index.width
+    index = embeddings.Index(x, levels=18)
+    assert (np.diff(index.impact) <= 0).all() and index.width > 1
+    n = len(index.heads)
+    again = sum(index.postings(a, min(a + 3, n), x.shape) for a in range(0, n, 3))
     assert (np.abs(x - again) < index.width).all() and (x * again >= 0).all() and (np.abs(again) <= np.abs(x)).all()
 
 
