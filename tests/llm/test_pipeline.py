@@ -68,14 +68,8 @@ def test_stages(spark, folder, tmp_path):
     tool = pieces.Sampler(corpus_pipeline.MODEL)
     last = {r["doc_id"]: r for r in kept["sentencepiece"]}
     assert last.keys() == ids["mixing"] and all(r["lossless"] and tool.decode(r["pieces"]).decode() == (r["text"] or "") for r in last.values())
-
-
-def test_run_is_the_stages_in_order(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, folder)
     rows = lambda f: sorted(map(str, f.collect()))
-    assert rows(corpus_pipeline.run(spark, folder)) == rows(docs)
+    assert rows(corpus_pipeline.run(spark, folder)) == rows(docs)  # run() is the stages in order
 
 
 def test_empty_tables(spark, folder, tmp_path):
