@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import checkpointed, components
+from moraine.llm.common import checkpointed, components, given_back
 from moraine.llm.shingles import CHUNK, buffers, chunks, mix, shingle_sets
 
 COORDINATES, MATCHES = 48, 27
@@ -77,7 +77,7 @@ def signatures(documents: DataFrame, words: int, coordinates: int = COORDINATES)
 
     import pyarrow.compute  # noqa: F401
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, parity array<long>")
+    return documents.select("doc_id", "text").mapInArrow(given_back(run), f"doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, parity array<long>")
 
 
 def compressed(documents: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def compressed(documents: DataFrame) -> DataFrame:
             packed = [press.compress(t.as_buffer()) if t.is_valid else b"" for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, packed binary")
+    return documents.select("doc_id", "text").mapInArrow(given_back(run), f"doc_id {id_type}, packed binary")
 
 
 def shingles_of(held: DataFrame, words: int) -> DataFrame:
@@ -117,7 +117,7 @@ def shingles_of(held: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), lists], names=["doc_id", "shingles"])
 
-    return held.select("doc_id", "packed").mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
+    return held.select("doc_id", "packed").mapInArrow(given_back(run), f"doc_id {id_type}, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
@@ -233,7 +233,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, coo
 
     # Small in bytes and long in time: not to be dealt to fewer tasks than there are partitions.
     wide = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = open_.repartition(wide, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n").mapInArrow(lists, "a long, b long").distinct()
+    crossing = open_.repartition(wide, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n").mapInArrow(given_back(lists), "a long, b long").distinct()
     more = confirmed(crossing, held, words, percent)
     final = components(links.unionByName(more))
     known = reps.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep").join(final, F.col("rep") == F.col("node"), "left")

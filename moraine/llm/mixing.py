@@ -22,7 +22,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from moraine.llm.common import checkpointed
 
@@ -45,7 +44,11 @@ ROUNDS, TOLERANCE = 200, 1e-7
 
 
 def raked_here(cells: DataFrame, names: list[str], powers: list[float]) -> DataFrame:
-    """What :func:`raked` gives, from cells that the driver holds."""
+    """What :func:`raked` gives, from checkpointed cells that the driver holds.  The factors return as
+    an Arrow table: one made of Python rows would start Python workers in every executor, which stay."""
+    import pyarrow as pa
+
+    cells = cells.withColumn("cell", F.monotonically_increasing_id())
     rows = cells.collect()
     tokens = np.array([r["cell_tokens"] for r in rows], float)
     whole, index, goals = tokens.sum(), [], []
@@ -64,9 +67,8 @@ def raked_here(cells: DataFrame, names: list[str], powers: list[float]) -> DataF
             factors[d] *= goal / now
         if off <= TOLERANCE:
             break
-    out = [(*r, *(float(f[i[k]]) for f, i in zip(factors, index))) for k, r in enumerate(rows)]
-    schema = StructType([*cells.schema.fields, *(StructField(f"factor_{n}", DoubleType()) for n in range(len(names)))])
-    return cells.sparkSession.createDataFrame(out, schema)
+    found = pa.table({"cell": pa.array([r["cell"] for r in rows], pa.int64())} | {f"factor_{n}": f[at] for n, (f, at) in enumerate(zip(factors, index))})
+    return cells.join(F.broadcast(cells.sparkSession.createDataFrame(found)), "cell").drop("cell")
 
 
 def raked(cells: DataFrame, names: list[str], powers: list[float]) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from moraine.llm.common import fresh
+from moraine.llm.common import fresh, given_back
 from moraine.llm.shingles import mix
 
 _MARK, _STOP = "▁", "\x00"
@@ -253,7 +253,7 @@ def sampler(model: str, alpha: float) -> Sampler:
     return Sampler(model, alpha)
 
 
-def encode(documents: DataFrame, model: str, alpha: float = 1.0, seed: int = 1, key: str = "doc_id", text: str = "text", chunk: int = 1 << 19) -> DataFrame:
+def encode(documents: DataFrame, model: str, alpha: float = 1.0, seed: int = 1, key: str = "doc_id", text: str = "text", chunk: int = 1 << 17) -> DataFrame:
     """All columns of ``documents`` and ``pieces`` (array of int), ``lossless`` (whether decoding
     gives the text back); columns of these names are replaced.  ``model`` is a path that every
     executor can open.  One narrow pass."""
@@ -280,5 +280,6 @@ def encode(documents: DataFrame, model: str, alpha: float = 1.0, seed: int = 1,
                 part = batch.slice(begin, at - begin)
                 part = part.select([c for c in part.schema.names if c != seeded])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(good)], names=[*part.schema.names, "pieces", "lossless"])
+        tool.clear()  # the worker's next task may be another operator's
 
-    return rest.withColumn(seeded, F.xxhash64(F.lit(seed), F.col(key))).mapInArrow(run, schema)
+    return rest.withColumn(seeded, F.xxhash64(F.lit(seed), F.col(key))).mapInArrow(given_back(run), schema)

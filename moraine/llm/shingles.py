@@ -11,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes and texts of a chunk: they set how much a worker holds at once, 2048 counters of a sketch for each text among it.
+CHUNK, TEXTS = 1 << 18, 1 << 9
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20240607)
@@ -49,10 +50,10 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(offsets: np.ndarray, size: int = CHUNK):
-    """(first, after last) rows of chunks of about ``size`` bytes."""
+    """(first, after last) rows of chunks of about ``size`` bytes and at most ``TEXTS`` rows."""
     first = 0
     while first < len(offsets) - 1:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        last = min(max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1), first + TEXTS)
         yield first, last
         first = last
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.llm.common import given_back
+
 # Letters of other scripts that look like Latin ones, and digits written for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
@@ -154,7 +156,7 @@ def fit(train: DataFrame, max_train: int = 3000, min_families: int = 6, min_shar
                 if seen:
                     yield pd.DataFrame(list(seen), columns=["feature", "family"])
 
-            return sample.where(F.col("label") == positive).mapInPandas(count, "feature string, family long").groupBy("feature").agg(F.countDistinct("family").alias("n"))
+            return sample.where(F.col("label") == positive).mapInPandas(given_back(count), "feature string, family long").groupBy("feature").agg(F.countDistinct("family").alias("n"))
 
         totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.countDistinct("text").alias("n")).collect()}
         least = max(min_families, int(min_share * totals.get(1, 0)))
@@ -176,7 +178,7 @@ def fit(train: DataFrame, max_train: int = 3000, min_families: int = 6, min_shar
                     out.append((int(label), float(sum(h[3] for h in hits)), len(text), sorted({p for h in hits for p in phrases(folded, h[0])})))
                 yield pd.DataFrame(out, columns=["label", "weight", "size", "phrases"])
 
-        read = sample.mapInPandas(contexts, "label int, weight double, size int, phrases array<string>").persist()
+        read = sample.mapInPandas(given_back(contexts), "label int, weight double, size int, phrases array<string>").persist()
         try:
             seen = read.select("label", "weight", "size").collect()
             counts_of = read.select("label", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
@@ -254,7 +256,7 @@ def score(documents: DataFrame, lexicon: Lexicon, text: str = "text", name: str
                     hits.append(len(found))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(hits, pa.int32())], names=[*part.schema.names, name, f"{name}_hits"])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(given_back(run), schema)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", on: str = "doc_id", bound: int = 40_000) -> DataFrame:

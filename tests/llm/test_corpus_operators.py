@@ -370,3 +370,30 @@ def test_mixing_beyond_the_driver(spark, monkeypatch):
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)
+
+
+def test_raked_cells_need_no_python_workers(spark):
+    """Cells of any kind of value come back from the driver as they were, without Python in the executors."""
+    cells = spark.sql("select * from values (named_struct('x', 1), timestamp '1890-01-01 00:00:01', double('nan'), 5L), (named_struct('x', 2), null, 0.5D, 7L), (null, null, 2D, 11L), (named_struct('x', 1), null, 0.5D, 3L) as t(cell_0, cell_1, cell_2, cell_tokens)")
+    cells = cells.localCheckpoint()
+    here = mixing.raked_here(cells, ["cell_0", "cell_1", "cell_2"], [0.5, 0.7, 0.7])
+    assert here.drop("factor_0", "factor_1", "factor_2").schema == cells.schema and sorted(map(str, here.select(cells.columns).collect())) == sorted(map(str, cells.collect()))
+    assert "Python" not in here._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_lattices_go_with_the_task(spark):
+    """Workers live on for other operators' tasks, without the lattices of this one."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = spark.range(400).repartition(4).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 50), k -> conv(xxhash64(id, k), 10, 36))) as text")
+    assert pieces.encode(docs, model).where("lossless").count() == 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            known = pieces.sampler.cache_info().currsize
+            size = len(pieces.sampler(model, 1.0).ends) if known else 0
+            yield pa.RecordBatch.from_arrays([pa.array([known]), pa.array([size])], names=["known", "size"])
+
+    rows = spark.range(64).repartition(4).mapInArrow(held, "known long, size long").collect()
+    assert any(r["known"] for r in rows) and not any(r["size"] for r in rows)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from moraine.llm import embeddings, html, pieces, shingles, suffix
+from moraine.llm import common, embeddings, html, pieces, shingles, suffix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -207,3 +207,34 @@ def test_estimates_are_unbiased():
         code = embeddings.Codes.of(np.stack([a, b]), embeddings.rotation.__wrapped__(32, seed))
         off.append(float(code.code()[0] @ code.rotated()[1] / code.factor[0] - a @ b))
     assert abs(np.mean(off)) < 4 * np.std(off) / 600**0.5
+
+
+def test_chunks_bound_texts_too():
+    """Each text of a chunk takes 16 KB of sketch counters, however short it is."""
+    offsets = np.arange(5001) * 7
+    found = list(shingles.chunks(offsets))
+    assert [r for a, b in found for r in range(a, b)] == list(range(5000))
+    assert max(b - a for a, b in found) <= 512
+    assert list(shingles.chunks(np.array([0, 5, 5, 1 << 22, (1 << 22) + 1]))) == [(0, 2), (2, 3), (3, 4)]  # long texts stay whole
+
+
+def test_free_memory_is_given_back():
+    """Blocks that are freed below one that is still held would stay with the process."""
+    pytest.importorskip("resource")
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pins = []
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for _ in range(2000):
+                held.append(np.ones(8000, np.uint8))
+                held.append(np.ones(40000, np.uint8))
+                pins.append(np.ones(2000, np.uint8))
+            yield batch
+        held.clear()
+
+    before, seen = resident(), []
+    for _ in common.given_back(run)(iter([0])):
+        seen.append(resident())
+    assert seen[0] - before > 60e6 and resident() - before < 0.4 * (seen[0] - before)
