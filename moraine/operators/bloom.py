@@ -18,6 +18,9 @@ from moraine.schemas import FALSE_POSITIVE_RATE
 #: Bits of a filter that is packed (4 MB, about 3.5 million keys at 1 per cent).
 PACKED_BITS = 32 << 20
 
+#: Words of a filter that are put in order in one task; the last task only puts such blocks together.
+BLOCK_WORDS = 1024
+
 
 def parameters(n: int, rate: float = FALSE_POSITIVE_RATE) -> tuple[int, int]:
     """Bits and hashes for ``n`` keys (at least one)."""
@@ -51,7 +54,9 @@ def packed(filled: DataFrame, bits: int) -> DataFrame:
     size = -(-bits // 64)
     set_ = filled.groupBy(F.expr("bit div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("_bits"))
     every = filled.sparkSession.range(size).join(set_, F.col("id") == F.col("_word"), "left").select("id", F.coalesce("_bits", F.lit(0)).alias("_bits"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_bits"))), lambda w: w["_bits"]).alias("words"))
+    ordered = lambda at, x: F.transform(F.sort_array(F.collect_list(F.struct(at, x))), lambda w: w[x])
+    blocks = every.groupBy(F.expr(f"id div {BLOCK_WORDS}").alias("_block")).agg(ordered("id", "_bits").alias("_words"))
+    return blocks.agg(F.flatten(ordered("_block", "_words")).alias("words"))
 
 
 def _bytes(word: Column) -> Column:
@@ -68,13 +73,16 @@ def serialised(words: Column, bits: int, hashes: int) -> Column:
 
 
 def deserialised(data: Column) -> Column:
-    """struct<bits, hashes, words> of a serialised filter; too few bytes are an error."""
-    digits = F.hex(data)
-    word = lambda at: F.conv(_reversed(F.rpad(F.substring(digits, at, F.lit(16)), 16, "0")), 16, -10).cast("long")
-    bits = word(F.lit(1))
+    """struct<bits, hashes, words> of a serialised filter; too few bytes are an error.  The digits of the
+    bits are cut into words in one pass: a lambda that took its word from ``data`` would read all of it."""
+    word = lambda digits: F.conv(_reversed(digits), 16, -10).cast("long")
+    head = lambda at: word(F.rpad(F.hex(F.substring(data, at, 8)), 16, "0"))
+    bits = head(1)
     short = (F.octet_length(data) < 16) | (F.octet_length(data) < 16 + F.ceil(bits / 8))
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(bits / 64), F.lit(1)).cast("int") - 1), lambda i: word(33 + 16 * i))
-    return F.when(short, F.raise_error(F.lit("a Bloom filter is cut off")).cast("struct<bits:bigint,hashes:bigint,words:array<bigint>>")).otherwise(F.struct(bits.alias("bits"), word(F.lit(17)).alias("hashes"), words.alias("words")))
+    size = (16 * F.greatest(F.ceil(bits / 64), F.lit(1))).cast("int")
+    body = F.rpad(F.substring(F.hex(data), F.lit(33), size), size, F.lit("0"))
+    words = F.transform(F.regexp_extract_all(body, F.lit(".{16}"), F.lit(0)), word)
+    return F.when(short, F.raise_error(F.lit("a Bloom filter is cut off")).cast("struct<bits:bigint,hashes:bigint,words:array<bigint>>")).otherwise(F.struct(bits.alias("bits"), head(9).alias("hashes"), words.alias("words")))
 
 
 def _reversed(digits: Column) -> Column:

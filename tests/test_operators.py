@@ -97,3 +97,24 @@ def test_bloom_forms(spark, monkeypatch):
     for cut in (data[:15], data[:-1]):
         with pytest.raises(Exception, match="cut off"):
             spark.createDataFrame([(bytearray(cut),)], "d binary").select(bloom.deserialised(F.col("d")).alias("f")).collect()
+
+
+def test_bloom_filter_of_many_words(spark):
+    """Time grows with the words of a filter, not with their square; blocks without a bit have their words."""
+    import random
+    import time
+
+    words = 32 * bloom.BLOCK_WORDS
+    bits = 64 * words - 13
+    on = sorted({*random.Random(7).sample(range(bits // 2), 5000), bits - 1})
+    filled = spark.createDataFrame([(b,) for b in on], "bit long")
+    want = [0] * words
+    for b in on:
+        want[b // 64] |= 1 << b % 64
+    raw = b"".join(x.to_bytes(8, "little") for x in [bits, 7, *want])[: 16 + -(-bits // 8)]
+    assert bytes(bloom.packed(filled, bits).select(bloom.serialised(F.col("words"), bits, 7).alias("d")).first()["d"]) == raw
+    started = time.monotonic()
+    for data in (raw, raw + b"more"):
+        f = spark.createDataFrame([(bytearray(data),)], "d binary").select(bloom.deserialised(F.col("d")).alias("f")).first()["f"]
+        assert (f["bits"], f["hashes"]) == (bits, 7) and [w % 2**64 for w in f["words"]][:-1] == want[:-1]
+    assert time.monotonic() - started < 15
